@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontam, jaccard, packing, suffix
+from kindred.llm import decontam, hilbert, jaccard, langid, lattice, packing, quality, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int, name: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.col(name).cast("string")), F.lit(parts))
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_read(spark, sf_dir, "pages")), "page_id")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = langid.predict(docs, langid.fit(docs, _fold(4) != 2))
+    return rows.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(suffix.repeated_bytes(_read(spark, sf_dir, "documents"), 100)).drop("kept")
 
@@ -26,15 +45,36 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lattice.score(_read(spark, sf_dir, "documents"), _fold(10) != 0)
+    return rows.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels"), _fold(3) != 1))
+    return rows.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_lattice_likelihood": op7_lattice_likelihood,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
