@@ -81,21 +81,24 @@ def _text_pairs(spark: SparkSession, d: str, least: float) -> DataFrame:
 PAIRS = sql.SCORED + "pairs as (select a.name_norm as a, b.name_norm as b from scored join rec a on s1_id = a.entity_id join rec b on cand_id = b.entity_id where prob >= {least}),\n"
 
 
-@query(PAIRS.replace("{least}", "0.1") + """d as (select la, list_filter(list_distinct(la), lambda t: not list_contains(lb, t)) as da, list_filter(list_distinct(lb), lambda t: not list_contains(la, t)) as db
+@query(PREC + f"c as ({sql.topk('rec', sql.ADDR, 8, 0.5)}), pairs as (select a.name_norm as a, b.name_norm as b from c join rec a on s1_id = a.entity_id join rec b on cand_id = b.entity_id),\n" + """d as (select la, list_filter(list_distinct(la), lambda t: not list_contains(lb, t)) as da, list_filter(list_distinct(lb), lambda t: not list_contains(la, t)) as db
  from (select list_filter(str_split(a, ' '), lambda t: t <> '') as la, list_filter(str_split(b, ' '), lambda t: t <> '') as lb from pairs)),
-e as (select * from d where len(da) between 1 and 40 and len(db) between 1 and 40),
+e as (select * from d where len(da) between 1 and 2 and len(db) between 1 and 2),
 na as (select x, count(*) as na from (select unnest(da) as x from e) group by x), nb as (select y, count(*) as nb from (select unnest(db) as y from e) group by y),
 uses as (select t, count(*) as n from (select unnest(list_distinct(la)) as t from d) group by t),
 two0 as (select db[1] as y, array_to_string(list_filter(la, lambda t: list_contains(da, t)), ' ') as x, count(*) as c from e where len(db) = 1 and len(da) = 2 group by 1, 2),
-two as (select y, x, c from (select *, row_number() over (partition by y order by c desc, x) as r from two0 join nb using (y) where c >= 1 and not regexp_full_match(y, '[0-9]+') and length(y) >= 2 and c / nb >= 0.05) where r = 1),
+two as (select y, x, c from (select *, row_number() over (partition by y order by c desc, x) as r from two0 join nb using (y) where c >= 2 and not regexp_full_match(y, '[0-9]+') and length(y) >= 2 and c / nb >= 0.05) where r = 1),
 one0 as (select db[1] as y, da[1] as x, count(*) as c from e where len(db) = 1 and len(da) = 1 group by 1, 2),
-one1 as (select *, row_number() over (partition by y order by c desc, x) as r from one0 join nb using (y) join na using (x) where c >= 1 and not regexp_full_match(y, '[0-9]+') and not regexp_full_match(x, '[0-9]+')
+one1 as (select *, row_number() over (partition by y order by c desc, x) as r from one0 join nb using (y) join na using (x) where c >= 2 and not regexp_full_match(y, '[0-9]+') and not regexp_full_match(x, '[0-9]+')
  and length(x) >= 2 and length(y) >= 2 and c / nb >= 0.05 and c / na >= 0.05 and y not in (select y from two)),
 one2 as (select o.y, o.x, o.c, coalesce(u.n, 0) > coalesce(v.n, 0) as turned from one1 o left join uses u on u.t = o.y left join uses v on v.t = o.x where r = 1 and o.x not in (select y from two)),
 both_ as (select y, x, c from two union all select case when turned then x else y end, case when turned then y else x end, c from one2)
 select y, x, c::bigint as c from (select *, row_number() over (partition by y order by c desc, x) as r from both_) where r = 1""")
 def tokenmap_mine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return tokenmap.mine(_text_pairs(spark, d, 0.1), least=1, share=0.05, most=40, back=0.05)
+    one, pool = views.parts(spark, d)
+    pairs = candidates.topk(one, pool, candidates.channels(0.5)["addr"])
+    pairs = pairs.join(one.select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("a")), "s1_id").join(pool.select(F.col("entity_id").alias("cand_id"), F.col("name_norm").alias("b")), "cand_id")
+    return tokenmap.mine(pairs.select("a", "b"), least=2, share=0.05, most=2, back=0.05)
 
 
 @query(PAIRS.replace("{least}", "0.06") + """z as (select unnest(la) as x, unnest(lb) as y from (select list_filter(str_split(a, ' '), lambda t: t <> '') as la, list_filter(str_split(b, ' '), lambda t: t <> '') as lb from pairs) where len(la) = len(lb)),
@@ -399,7 +402,7 @@ def decide_expected_f(spark: SparkSession, d: str) -> DataFrame:
 F_SQL = "(case when np = 0 and nt = 0 then 1.0::double when tp = 0 then 0.0::double else 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) end)"
 
 
-@query(sql.SCORED + sql.TRUTH + sql.ONE + f"""g as (select 0.3 + 0.1 * i as t from range(0, 6) r(i)), p as (select t, s1_id, cand_id from one, g where prob >= t),
+@query(sql.SCORED + sql.TRUTH + sql.ONE + f"""g as (select 0.3::double + 0.1::double * i::double as t from range(0, 6) r(i)), p as (select t, s1_id, cand_id from one, g where prob >= t),
 per as (select p.t, p.s1_id, count(*) as np, count(tr.cand_id) as tp from p left join truth tr on p.s1_id = tr.s1_id and p.cand_id = tr.cand_id group by 1, 2),
 nt as (select e.s1_id, count(t.s1_id) as nt from ents e left join truth t on e.s1_id = t.s1_id group by 1),
 f as (select g.t, nt.s1_id, nt, coalesce(np, 0) as np, coalesce(tp, 0) as tp from g cross join nt left join per on per.t = g.t and per.s1_id = nt.s1_id)
