@@ -37,12 +37,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, in the folder that all executors share (``spark.checkpoint.dir``)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -113,7 +118,9 @@ def packed(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, li
     """The columns' rows by key, as bytes."""
     order = np.argsort(key, kind="stable")
     k = key[order]
-    cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+    if not len(k):
+        return
+    cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     columns = [c[order] for c in columns]
     for a, b in zip(cuts, np.r_[cuts[1:], len(k)], strict=True):
         yield int(k[a]), [c[a:b].tobytes() for c in columns]

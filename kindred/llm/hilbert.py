@@ -124,7 +124,9 @@ def _search(part: DataFrame, ask: DataFrame, n: int, k: int, d: int, dims: int,
         now = None
         for batch in batches:  # sorted: one block's rows are held at a time
             place = batch.column("curve").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
-            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, int)
+            if not len(place):
+                continue
+            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(place)], strict=True):
                 if place[a] != now and held:
                     yield from nearest(held)

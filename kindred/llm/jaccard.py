@@ -2,10 +2,11 @@
 
 The incidence matrix has a row for each different set of n-grams and a column for each n-gram.
 
-1. Columns fall into blocks by hash.  Two sets within the threshold differ in at most
-   d = (1-t)/(1+t) * (size + size) columns, so of d + 1 blocks one has equal rows in both.  Each row
-   emits a hash of itself in each block; rows that agree in one are candidates of each other.  The
-   number of blocks follows from the sizes, so a frequent n-gram alone never makes a candidate.
+1. N-grams have a fixed order, rarest words first.  A row of s columns that links shares at least
+   ceil(t * s) of them, so both rows of a link have a common column among their first
+   s - ceil(t * s) + 1: rows that meet there, with sizes of one level, are candidates of each other.
+   The order takes word frequencies from all documents (frequent words only, at most ``common`` of
+   them by definition); any order gives the same links, this one keeps common passages from meeting.
 2. Candidates that hang together form a group.  A group's rows are dealt to blocks of ``block`` rows;
    the product of each pair of blocks is a task, which accumulates the overlap counts and discards
    pairs below the bound of their sizes.  A task returns a spanning forest of the links it found.
@@ -33,49 +34,81 @@ from kindred.llm.common import LOWER, U64, buckets_of, checkpointed, chunks, com
 
 
 class Levels:
-    """Size levels of a threshold num/den: which levels a size takes part in, and each level's number of column blocks."""
+    """Bounds that follow from sizes, for a threshold num/den."""
 
     def __init__(self, num: int, den: int, step: float = 1.4):
-        self.num, self.den, self.step = num, den, step
+        self.num, self.den = num, den
         self.top = [1]
         while self.top[-1] < 1 << 40:
             self.top.append(max(self.top[-1] + 1, int(self.top[-1] * step)))
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(level, blocks): the level of the larger of a pair is where it is found."""
+    def of(self, size: int) -> list[int]:
+        """Levels that a size takes part in: a pair is found at the level of its larger size."""
         first = int(np.searchsorted(self.top, size))
-        out, j = [], first
-        while j == first or (self.top[j - 1] + 1) * self.num <= size * self.den:
-            # |A xor B| <= (den-num)/(den+num) * (|A|+|B|), and both are at most the level's top
-            out.append((j, (self.den - self.num) * 2 * self.top[j] // (self.den + self.num) + 1))
-            j += 1
+        out = [first]
+        while (self.top[out[-1]] + 1) * self.num <= size * self.den:
+            out.append(out[-1] + 1)
         return out
 
+    def prefix(self, size: int) -> int:
+        return size + self.num * -size // self.den + 1
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """For each document of a chunk the sorted different hashes of its word n-grams."""
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, usual: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each document of a chunk the sorted different hashes of its word n-grams, and how usual each one's words are."""
     data = LOWER[data]
     start, end, doc = words_in(data, offs)
     h = word_hashes(data, start, end)
     at = np.searchsorted(doc, np.arange(len(offs)))
+    if usual is not None:
+        known, weight = usual
+        i = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        w = np.r_[0, np.cumsum(np.where(known[i] == h, weight[i], 0) if len(known) else np.zeros(len(h), np.int64))]
     for a, b in zip(at[:-1], at[1:], strict=True):
         m = b - a
-        if m >= n:
-            g = np.sort(gram_hashes(h[a:b], n))
-            yield g[np.r_[True, g[1:] != g[:-1]]]
-        elif m:
-            yield mix(gram_hashes(h[a:b], m) + U64(m))
+        if not m:
+            yield np.zeros(0, U64), np.zeros(0, np.int64)
+            continue
+        g = gram_hashes(h[a:b], n) if m >= n else mix(gram_hashes(h[a:b], m) + U64(m))
+        if usual is None:
+            g = np.sort(g)
+            yield g[np.r_[True, g[1:] != g[:-1]]], None
         else:
-            yield np.zeros(0, U64)
+            g, first = np.unique(g, return_index=True)
+            yield g, (w[a + min(m, n) : b + 1] - w[a : b + 1 - min(m, n)])[first]
+
+
+def usual_words(docs: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words with at least about 1/common of all words, sorted, and their frequencies in sixteenths of bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for _, data, offs in chunks(batch, 8 << 20):
+                data = LOWER[data]
+                start, end, _ = words_in(data, offs)
+                got.append(word_hashes(data, start, end))
+            h, c = np.unique(np.concatenate(got or [np.zeros(0, U64)]), return_counts=True)
+            keep = c >= max(2, c.sum() / (2 * common))  # a word that is common in all is so in some batch
+            rest = int(c[~keep].sum())
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.r_[h[keep].view(np.int64), np.int64(0)], pa.int64()), "n": pa.array(np.r_[c[keep], rest], pa.int64())})
+
+    rows = checkpointed(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = rows.agg(F.sum("n").alias("n")).first().n or 0
+    top = rows.where((F.col("h") != 0) & (F.col("n") >= max(2, total / common))).toPandas()  # at most `common` rows
+    h, n = top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(float)
+    order = np.argsort(h)
+    return h[order], np.round(16 * np.log2(1 + n[order] * common / max(total, 1))).astype(np.int64)
 
 
 def _set_id(g: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(g ^ U64(0xA5A5A5A5))) + U64(len(g))], U64)).view(np.int64)[0])
 
 
-def _candidates(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
-    """kind 0: (a: doc_id, b: its set, n: its size); kind 1: (a, b) sets that agree in a block."""
+def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFrame:
+    """kind 0: (a: doc_id, b: its set, n: its size); kind 1: (a, b) sets that meet."""
     count = buckets_of(docs.sparkSession)
+    usual = docs.sparkSession.sparkContext.broadcast(usual_words(docs, common))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +128,7 @@ def _candidates(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
                 rows.clear(), sigs.clear(), nodes.clear()
 
             for part, data, offs in chunks(batch):
-                for doc, g in zip(ids[part], shingle_sets(data, offs, n), strict=True):
+                for doc, (g, w) in zip(ids[part], shingle_sets(data, offs, n, usual.value), strict=True):
                     if not len(g):
                         rows.append((doc, 0, 0))
                         continue
@@ -104,10 +137,11 @@ def _candidates(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
                     if node in seen:
                         continue
                     seen.add(node)
-                    for level, k in levels.of(len(g)):
-                        got = np.full(k, level << 32, U64) + np.arange(k, dtype=U64)
-                        np.add.at(got, (g % U64(k)).astype(np.int64), mix(g + U64(level)))
-                        sigs.append(mix(got))
+                    p = levels.prefix(len(g))
+                    order = (w.astype(U64) << U64(48)) | (g >> U64(16))
+                    g = g[order <= np.partition(order, p - 1)[p - 1]]
+                    for level in levels.of(len(w)):
+                        sigs.append(mix(g + U64(level)))
                         nodes.append(node)
                 if sum(map(len, sigs)) > 1 << 20:
                     yield from out()
@@ -120,9 +154,10 @@ def _candidates(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
         sig, node = np.frombuffer(b"".join(r["x"] for r in rows if r["kind"]), U64), np.frombuffer(b"".join(r["y"] for r in rows if r["kind"]), np.int64)
         order = np.argsort(sig, kind="stable")
         sig, node = sig[order], node[order]
-        same = sig[1:] == sig[:-1]
-        inside = np.r_[same, False] | np.r_[False, same]
-        group, node = np.cumsum(np.r_[True, ~same])[inside] if len(sig) else sig, node[inside]
+        new = np.ones(len(sig) + 1, bool)
+        new[1:-1] = sig[1:] != sig[:-1]
+        inside = ~(new[:-1] & new[1:])
+        group, node = np.cumsum(new[:-1])[inside], node[inside]
         if len(node):
             names, who = np.unique(node, return_inverse=True)
             first = np.r_[True, group[1:] != group[:-1]]
@@ -160,11 +195,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 384) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 384, common: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id: components of links with num*|union| <= den*|intersection|, exactly."""
     levels = Levels(num, den)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    base = checkpointed(_candidates(docs, n, levels))
+    base = checkpointed(_candidates(docs, n, levels, common))
     rows = base.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     rep = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     pairs = base.where("kind = 1").select("a", "b")
@@ -176,7 +211,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in chunks(batch):
-                got = [g.tobytes() for g in shingle_sets(data, offs, n)]
+                got = [g.tobytes() for g, _ in shingle_sets(data, offs, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(c)[part.start : part.stop] for c in ("doc_id", "blob", "k")] + [pa.array(got, pa.binary())], ["doc_id", "blob", "k", "g"])
 
     def product(held: list[dict]) -> Iterator[pa.RecordBatch]:

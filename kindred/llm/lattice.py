@@ -140,7 +140,9 @@ def by_length(size: np.ndarray, raw: np.ndarray, most: int = 1 << 15) -> Iterato
     """(which, matrix) of words of one length, each after the mark of a word's start."""
     at = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0]) if len(size) else []
+    if not len(size):
+        return
+    cut = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0])
     for a, b in zip(cut, [*cut[1:], len(size)], strict=True):
         n = int(size[order[a]])
         step = max(1, min(most, (1 << 22) // (n + 1)))

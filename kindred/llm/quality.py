@@ -183,3 +183,16 @@ def score(docs: DataFrame, scorer: Scorer, keep: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array(sent.value.score(f, doc, n))], ["doc_id", "score"])
 
     return rows.mapInArrow(each, "doc_id long, score double").withColumn("keep", F.col("score") >= keep)
+
+
+def kept(docs: DataFrame, scorer: Scorer, keep: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with all their columns, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in chunks(batch):
+                f, doc, _, n = parts(data, offs)
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(sent.value.score(f, doc, n) >= keep))
+
+    return docs.where("doc_id is not null").mapInArrow(each, docs.schema)

@@ -275,3 +275,13 @@ def removed(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+
+
+def kept_texts(rows: DataFrame) -> DataFrame:
+    """doc_id and text of what ``repeated_bytes`` leaves; bytes that are no longer part of a character go."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return removed(rows).select("doc_id", "kept").mapInArrow(cut, "doc_id long, text string")
