@@ -94,4 +94,42 @@ it as (select doc_id, count(*) n, sha256(string_agg(item_id::varchar, ',' order
 select d.doc_id, len(w)::bigint n_words, coalesce(pos.n, 0)::bigint n_hit, coalesce(it.n, 0)::bigint n_items,
        coalesce(it.h, sha256('')) items_sha256, coalesce(pos.n, 0) > 0 contaminated
 from d left join pos on d.doc_id = pos.doc_id left join it on d.doc_id = it.doc_id""",
+    "op9_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+r as (select doc_id id, doc_id top from w union select l.b, r.top from r join l on l.a = r.id)
+select doc_id, coalesce(n, 0)::bigint n_shingles, m component_id from w left join n using (doc_id) join (select id doc_id, min(top) m from r group by 1) using (doc_id)""",
 }
+
+
+def _warc_sql() -> str:
+    def urn(x: str) -> str:
+        h = f"sha1({x})"
+        return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+    crlf = "chr(13) || chr(10)"
+    text = r"""regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->', ' ', 'g')"""
+    text = rf"""regexp_replace({text}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre)\b[^>]*>', chr(10), 'g')"""
+    text = f"""regexp_replace({text}, '<[^>]*>', ' ', 'g')"""
+    for name, sign in warc.ENTITIES:
+        text = f"""replace({text}, '{name.replace("'", "''")}', '{sign.replace("'", "''")}')"""
+    text = rf"""regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"""
+    text = rf"""regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+    fields = rf"""'source-status: 200' || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-content-length: ' || strlen(html) || {crlf} || 'title: '
+ || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g') || {crlf}
+ || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: 'outlink: ' || x || {crlf}), '')"""
+    return f"""
+with p as (select page_id, coalesce(url, '') url, coalesce(html, '') html from pages),
+h as (select *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) || {crlf} || {crlf} source_headers, 'sha1:' || sha1(html) source_payload_digest,
+ {urn("concat_ws(chr(10), 'response', page_id::varchar, url)")} refers_to from p),
+c as (select *, 'sha1:' || sha1(source_headers || html) source_block_digest from h),
+k as (select *, 'metadata' record_type, 'application/warc-fields' content_type, {fields} content from c union all select *, 'conversion', 'text/plain; charset=utf-8', {text} from c)
+select page_id, record_type, {urn("concat_ws(chr(10), record_type, refers_to)")} record_id, refers_to, url refers_to_target_uri, '2026-01-01T00:00:00Z' refers_to_date, content_type, source_headers, source_payload_digest, source_block_digest,
+ 'sha1:' || sha1(content) block_digest, strlen(content)::bigint content_length, content from k"""
+
+
+ORACLE["op1_warc_derivatives"] = _warc_sql()
