@@ -2,8 +2,9 @@
 
 Sets and ratios are native.  A ratio is 100 * 2 * LCS / (length + length); the longest common
 subsequence runs bit-parallel (Hyyro 2004) on one 62-bit mask inside ``aggregate``, so one of the two
-strings may have at most 62 characters on that path; longer pairs take a table of the same recurrence
-by rows, also native.  Jaro-Winkler and the best partial window are Arrow functions.
+strings may have at most 62 characters on that path; longer pairs take the textbook table, also native but
+slow.  ``any_ratio`` (for addresses), the token-set ratio, Jaro-Winkler and the best partial window are Arrow
+functions, which share one pass through Python.
 """
 
 from __future__ import annotations
@@ -68,14 +69,6 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(_sorted(a), _sorted(b))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Of token arrays: the best ratio of the shared tokens, and of those with either side's others."""
-    both, only_a, only_b = _sorted(F.array_intersect(a, b)), _sorted(F.array_except(a, b)), _sorted(F.array_except(b, a))
-    plus = lambda x: F.concat_ws(" ", F.nullif(both, F.lit("")), F.nullif(x, F.lit("")))
-    best = F.greatest(ratio(plus(only_a), plus(only_b)), F.when(both == "", 0.0).otherwise(F.greatest(ratio(both, plus(only_a)), ratio(both, plus(only_b)))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when((both != "") & ((only_a == "") | (only_b == "")), 100.0).otherwise(best)
-
-
 def _lcs(a: str, b: str) -> int:
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -88,6 +81,23 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def indel(a: str, b: str) -> float:
+    n = len(a) + len(b)
+    return 100.0 if not n else 200.0 * _lcs(a, b) / n
+
+
+def token_set(a: str, b: str) -> float:
+    """Best ratio of the shared tokens, and of those with either side's others; 0 if a side has none."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, only_a, only_b = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and (not only_a or not only_b):
+        return 100.0
+    more_a, more_b = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()
+    return max(indel(more_a, more_b), *((indel(both, more_a), indel(both, more_b)) if both else (0.0,)))
+
+
 def partial(a: str, b: str) -> float:
     """Best ratio of the shorter string with a window of its length in the longer (shorter at the ends); 0 if one is empty."""
     if len(a) > len(b):
@@ -137,6 +147,16 @@ def _arrow(f, a: Column, b: Column) -> Column:
     return F.arrow_udf(each, "double")(a, b)
 
 
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Of space-joined tokens."""
+    return _arrow(token_set, a, b)
+
+
+def any_ratio(a: Column, b: Column) -> Column:
+    """``ratio`` for strings of any length."""
+    return _arrow(indel, a, b)
+
+
 def partial_ratio(a: Column, b: Column) -> Column:
     return _arrow(partial, a, b)
 

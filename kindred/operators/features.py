@@ -81,20 +81,20 @@ def house_features() -> dict[str, Column]:
 
 
 def ratio_features() -> dict[str, Column]:
-    """Native ratios. The set and sort ratios work on tokens, the others on the strings."""
+    """Native ratios of short strings."""
     c = F.col
-    t1, t2 = split_tokens(c("name_core1")), split_tokens(c("name_core2"))
-    a1, a2 = split_tokens(c("addr_norm1")), split_tokens(c("addr_norm2"))
     filled = lambda x, y, e: F.when((c(x) == "") | (c(y) == ""), 0.0).otherwise(e)
     return {
-        "name_ratio": S.ratio(c("name_core1"), c("name_core2")), "name_tsr": S.token_set_ratio(t1, t2), "name_tsort": S.token_sort_ratio(t1, t2), "name_ns_ratio": S.ratio(c("name_nospace1"), c("name_nospace2")),
-        "addr_tsr": filled("addr_norm1", "addr_norm2", S.token_set_ratio(a1, a2)), "addr_ratio": filled("addr_norm1", "addr_norm2", S.ratio(c("addr_norm1"), c("addr_norm2"))), "nums_ratio": filled("addr_nums1", "addr_nums2", S.ratio(c("addr_nums1"), c("addr_nums2"))),
+        "name_ratio": S.ratio(c("name_core1"), c("name_core2")), "name_tsort": S.token_sort_ratio(split_tokens(c("name_core1")), split_tokens(c("name_core2"))),
+        "name_ns_ratio": S.ratio(c("name_nospace1"), c("name_nospace2")), "nums_ratio": filled("addr_nums1", "addr_nums2", S.ratio(c("addr_nums1"), c("addr_nums2"))),
     }
 
 
 def arrow_features() -> dict[str, Column]:
     c = F.col
+    filled = lambda e: F.when((c("addr_norm1") == "") | (c("addr_norm2") == ""), 0.0).otherwise(e)
     return {
+        "name_tsr": S.token_set_ratio(c("name_core1"), c("name_core2")), "addr_tsr": S.token_set_ratio(c("addr_norm1"), c("addr_norm2")), "addr_ratio": filled(S.any_ratio(c("addr_norm1"), c("addr_norm2"))),
         "name_partial": S.partial_ratio(c("name_core1"), c("name_core2")), "name_ns_partial": S.partial_ratio(c("name_nospace1"), c("name_nospace2")),
         "addr_partial": S.partial_ratio(c("addr_norm1"), c("addr_norm2")), "name_jw": S.jaro_winkler(c("name_core1"), c("name_core2")),
     }

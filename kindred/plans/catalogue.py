@@ -271,14 +271,13 @@ _SORT = lambda x: f"array_to_string(list_sort({x}), ' ')"
 select s1_id, cand_id, round({sql.ratio('nc1', 'nc2')}, 6) as name_ratio, round({sql.ratio('so1', 'so2')}, 6) as name_tsort, round({sql.ratio('ns1', 'ns2')}, 6) as name_ns_ratio,
  round(case when an1 = '' or an2 = '' then 0.0::double else {sql.ratio('an1', 'an2')} end, 6) as addr_ratio, round(case when nu1 = '' or nu2 = '' then 0.0::double else {sql.ratio('nu1', 'nu2')} end, 6) as nums_ratio from p""")
 def feat_ratio(spark: SparkSession, d: str) -> DataFrame:
-    names = ("name_ratio", "name_tsort", "name_ns_ratio", "addr_ratio", "nums_ratio")
-    own = features.ratio_features()
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(own[k].alias(k) for k in names)))
+    own = features.ratio_features() | {"addr_ratio": features.arrow_features()["addr_ratio"]}
+    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(c.alias(k) for k, c in own.items())))
 
 
 @query()
 def feat_token_set(spark: SparkSession, d: str) -> DataFrame:
-    own = features.ratio_features()
+    own = features.arrow_features()
     return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(own[k].alias(k) for k in ("name_tsr", "addr_tsr"))))
 
 

@@ -81,6 +81,8 @@ def test_ratio(spark):
 def test_pair_similarities():
     assert S.jaro_winkler_pair("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert S.jaro_winkler_pair("", "") == 1 and S.jaro_winkler_pair("a", "") == 0
+    assert S.token_set("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100 and S.token_set("", "a") == 0
+    assert S.token_set("a b", "c d") == S.indel("a b", "c d") and S.indel("", "") == 100
     assert S.partial("abc", "xxabcxx") == 100 and S.partial("", "a") == 0
 
 
