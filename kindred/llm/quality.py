@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good, junk or nothing on each document.  Expectation-maximisation estimates
-from all documents' votes how often each labeller errs and abstains on either class (the votes of all
+from all documents' votes how often each labeller errs on either class (the votes of all
 documents are counted by pattern; there are at most 3^labellers patterns).  The posterior of a pattern
 is the soft label that trains a linear scorer on hashed words, word shapes and repetitions.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import U64, chunks, mix, word_hashes, words_in
 
 BITS = 16
+SHORT = 24  # texts of fewer words count as this long, so that a few words say little
 #: Byte classes of a word's shape: letters (all bytes from 128 on are), digits; the rest stand for themselves.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[np.r_[65:91, 97:123, 128:256]] = ord("a")
@@ -68,7 +69,7 @@ def votes(m: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def posteriors(pattern: np.ndarray, count: np.ndarray, rounds: int = 60, false_alarm: float = 0.002) -> np.ndarray:
-    """P(good) of each vote pattern, by EM over class, error and abstention rates.
+    """P(good) of each vote pattern, by EM over the class and the error rates of votes given.
 
     Labellers look for different kinds of junk and the kinds rarely meet, so without more the classes
     might part one kind of junk from all else: a labeller's rate of junk votes on good documents is held
@@ -81,9 +82,10 @@ def posteriors(pattern: np.ndarray, count: np.ndarray, rounds: int = 60, false_a
     for _ in range(rounds):
         w = np.stack([count * (1 - p), count * p], 1)
         prior = (w.sum(0) + 1) / (w.sum() + 2)
-        rate = np.stack([[(w * (v[:, [i]] == x)).sum(0) + 1 for x in range(3)] for i in range(k)])
+        rate = np.stack([[(w * (v[:, [i]] == x)).sum(0) + 1 for x in (1, 2)] for i in range(k)])
         rate = rate / rate.sum(1, keepdims=True)
-        rate[:, 1, 1] = np.minimum(rate[:, 1, 1], false_alarm)
+        rate[:, 0, 1] = np.minimum(rate[:, 0, 1], false_alarm)
+        rate = np.concatenate([np.ones_like(rate[:, :1]), rate], 1)  # no vote says nothing
         log = np.log(prior) + sum(np.log(rate[i, v[:, i]]) for i in range(k))
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
     return p
@@ -103,7 +105,7 @@ def parts(data: np.ndarray, offs: np.ndarray) -> tuple:
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     low = U64((1 << BITS) - 1)
-    f = np.stack([(h >> U64(20)) & low, (mix(s + U64(7)) >> U64(20)) & low, np.where(again, U64(1), U64(2))], 1).astype(np.int64)
+    f = np.stack([np.maximum((h >> U64(20)) & low, U64(3)), np.maximum((mix(s + U64(7)) >> U64(20)) & low, U64(3)), np.where(again, U64(1), U64(2))], 1).astype(np.int64)
     return f, doc, votes(m, n), n
 
 
@@ -112,7 +114,8 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     def score(self, f: np.ndarray, doc: np.ndarray, words: np.ndarray) -> np.ndarray:
-        z = np.bincount(doc, self.weights[f].sum(1), len(words)) / np.maximum(words, 1) + self.bias
+        z = np.bincount(doc, self.weights[f].sum(1), len(words)) / np.maximum(words, SHORT) + self.bias
+        z = z + self.weights[0] * np.maximum(SHORT - words, 0) / SHORT  # feature 0: how much of a short text is missing
         return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
 
 
@@ -145,8 +148,8 @@ def train(docs: DataFrame, fit_rows: int = 5000, epochs: int = 30) -> Scorer:
                 cut = np.searchsorted(doc, np.arange(len(n) + 1))
                 out = []
                 for i in np.flatnonzero(n):
-                    k, c = np.unique(f[cut[i] : cut[i + 1]], return_counts=True)
-                    out.append((float(y[i]), k.astype(np.int32).tobytes(), (c / n[i]).astype(np.float32).tobytes()))
+                    k, c = np.unique(np.r_[f[cut[i] : cut[i + 1]].ravel(), np.zeros(max(0, SHORT - n[i]), np.int64)], return_counts=True)
+                    out.append((float(y[i]), k.astype(np.int32).tobytes(), (c / max(n[i], SHORT)).astype(np.float32).tobytes()))
                 yield pa.RecordBatch.from_pydict({c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate((("y", pa.float64()), ("k", pa.binary()), ("x", pa.binary())))})
 
     part = rows.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
@@ -171,7 +174,7 @@ def train(docs: DataFrame, fit_rows: int = 5000, epochs: int = 30) -> Scorer:
     return Scorer(w, float(b))
 
 
-def score(docs: DataFrame, scorer: Scorer, keep: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, scorer: Scorer, keep: float = 0.3) -> DataFrame:
     """doc_id, score (that it is good, 0 to 1), keep."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # 2^16 weights
@@ -185,7 +188,7 @@ def score(docs: DataFrame, scorer: Scorer, keep: float = 0.5) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, score double").withColumn("keep", F.col("score") >= keep)
 
 
-def kept(docs: DataFrame, scorer: Scorer, keep: float = 0.5) -> DataFrame:
+def kept(docs: DataFrame, scorer: Scorer, keep: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with all their columns, in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 

@@ -8,7 +8,8 @@ that sum divided by the text's length, enter a logistic score fitted on the same
 
 The sample has in expectation at most ``fit_rows`` labelled documents, by a hash of doc_id; of those
 that share their least long word, as copies do, one stays.  An entry needs ``least`` toxic documents,
-or ``share`` of them if that is more.  Scoring reads whole texts in one pass without a shuffle.
+or ``share`` of them if that is more; a beginning also needs three different words in toxic documents
+and half a unit more, as it reaches words that were never seen.  Scoring reads whole texts in one pass without a shuffle.
 
 Null and empty texts have no match and the score of one.  Without labels of both kinds the lexicon is
 empty and every score is 0.  Rows without a doc_id are left out; repeated rows are each scored.  Other
@@ -123,7 +124,7 @@ def _entries(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in (4, 5, 6, 7) if len(w) > n}
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 8000, least: int = 3, share: float = 0.01, log_odds: float = 3.0, entries: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 12000, least: int = 3, share: float = 0.01, log_odds: float = 4.0, entries: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from ``labels`` (doc_id, toxic) of the rows where ``train`` holds."""
     spark = docs.sparkSession
     empty = Lexicon({}, exceptions)
@@ -151,20 +152,30 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 8000,
     pos, neg = many.get(1, 0), sum(v for k, v in many.items() if k != 1)
     if not pos or not neg:
         return empty
-    counts = sample.select("y", F.explode("entries").alias("e")).groupBy("e").agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") != 1).cast("long")).alias("q"))
-    weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    got = counts.where(F.col("p") >= max(least, round(share * pos))).withColumn("w", weight).where(F.col("w") >= log_odds).orderBy(F.desc("w"), F.desc("p"), "e").limit(entries).collect()
-    lexicon = Lexicon({r.e: float(r.w) for r in got}, exceptions)
+    def learned(part: DataFrame, pos: int, neg: int) -> Lexicon:
+        counts = part.select("y", F.explode("entries").alias("e")).groupBy("e").agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") != 1).cast("long")).alias("q"))
+        weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
+        words_of = part.where("y = 1").select(F.explode(F.filter("entries", lambda e: F.endswith(e, F.lit(" ")))).alias("e")).distinct()
+        types = words_of.select(F.explode(F.transform(F.sequence(F.lit(5), F.lit(8)), lambda n: F.substr("e", F.lit(1), n))).alias("e")).groupBy("e").agg(F.count("*").alias("types"))
+        counts = counts.where(F.col("p") >= max(least, round(share * pos))).withColumn("w", weight).join(types, "e", "left")
+        whole = F.endswith("e", F.lit(" "))
+        got = counts.where((F.col("w") >= log_odds) & (whole | ((F.col("w") >= log_odds + 0.5) & (F.col("types") >= 3)))).orderBy(F.desc("w"), F.desc("p"), "e").limit(entries).collect()
+        return Lexicon({r.e: float(r.w) for r in got}, exceptions)
+
+    # the score is fitted on one half with the entries of the other, so that entries' weights are not trusted too far
+    half = F.pmod(F.xxhash64("folded"), F.lit(2))
+    sizes = {(r.h, r.y): r.n for r in sample.groupBy(half.alias("h"), F.when(F.col("y") == 1, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    lexicon, first = learned(sample, pos, neg), learned(sample.where(half == 0), sizes.get((0, 1), 0), sizes.get((0, 0), 0))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [lexicon.features(t)[:2] for t in batch.column("folded").to_pylist()]
+            f = [first.features(t)[:2] for t in batch.column("folded").to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "a": pa.array([x for x, _ in f], pa.float64()), "b": pa.array([x for _, x in f], pa.float64())})
 
-    fitted = sample.select("y", "folded").mapInArrow(points, "y int, a double, b double").groupBy("y", "a", "b").agg(F.count("*").alias("n")).toPandas()  # at most about fit_rows rows
+    fitted = sample.where(half == 1).select("y", "folded").mapInArrow(points, "y int, a double, b double").groupBy("y", "a", "b").agg(F.count("*").alias("n")).toPandas()  # at most about fit_rows rows
     x = np.c_[np.ones(len(fitted)), fitted["a"], fitted["b"]]
     y, n = (fitted["y"] == 1).to_numpy(float), fitted["n"].to_numpy(float)
-    n = n * np.where(y == 1, 0.5 / max(1.0, n[y == 1].sum()), 0.5 / max(1.0, n[y != 1].sum()))  # both labels weigh alike
+    n = n / max(1.0, n.sum())
     beta = np.zeros(3)
     for _ in range(50):  # Newton steps of a penalised logistic regression
         p = 1 / (1 + np.exp(-(x @ beta)))
