@@ -7,10 +7,13 @@ The incidence matrix has a row for each different set of n-grams and a column fo
    s - ceil(t * s) + 1: rows that meet there, with sizes of one level, are candidates of each other.
    The order takes word frequencies from all documents (frequent words only, at most ``common`` of
    them by definition); any order gives the same links, this one keeps common passages from meeting.
-2. Candidates that hang together form a group.  A group's rows are dealt to blocks of ``block`` rows;
+2. Rows that meet are compared by sketch, the numbers of their n-grams in 64 hash bins: two sets differ
+   in at least the sum of the bins' differences, so pairs beyond the bound of their sizes go without
+   their sets being read.  Meetings of more than ``wide`` rows are not compared; all their rows stay.
+3. Candidates that hang together form a group.  A group's rows are dealt to blocks of ``block`` rows;
    the product of each pair of blocks is a task, which accumulates the overlap counts and discards
    pairs below the bound of their sizes.  A task returns a spanning forest of the links it found.
-3. Components of all links give each document its component.
+4. Components of all links give each document its component.
 
 Hashes of n-grams and sets have 64 bits; equal hashes count as equal.  Groups are never expanded
 into pairs of rows of a DataFrame; exact copies are one row of the matrix from the start.
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import LOWER, U64, buckets_of, checkpointed, chunks, components, gram_hashes, keyed, mix, packed, roots, word_hashes, words_in
 
 
+BINS = 64
+
+
 class Levels:
     """Bounds that follow from sizes, for a threshold num/den."""
 
@@ -106,7 +112,7 @@ def _set_id(g: np.ndarray) -> int:
 
 
 def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFrame:
-    """kind 0: (a: doc_id, b: its set, n: its size); kind 1: (a, b) sets that meet."""
+    """kind 0: (a: doc_id, b: its set, n: its size, s: its sketch); kind 1: (a: a meeting, b: a set in it)."""
     count = buckets_of(docs.sparkSession)
     usual = docs.sparkSession.sparkContext.broadcast(usual_words(docs, common))
 
@@ -114,21 +120,22 @@ def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFra
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             seen: set[int] = set()
-            sigs, nodes, rows = [], [], []
+            sigs, nodes, rows, bins = [], [], [], []
 
             def out() -> Iterator[pa.RecordBatch]:
                 if rows:
                     r = np.array(rows, np.int64)
-                    got = [(0, k, x) for k, x in packed(mix(r[:, 0].view(U64)) % U64(count), [r[:, 0], r[:, 1], r[:, 2]])]
+                    got = [(0, k, x) for k, x in packed(mix(r[:, 0].view(U64)) % U64(count), [r[:, 0], r[:, 1], r[:, 2], np.stack(bins)])]
                     if sigs:
                         s = np.concatenate(sigs)
                         who = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
-                        got += [(1, k, [*x, b""]) for k, x in packed(s % U64(count), [s, who])]
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([x[0] for x in got], pa.int32()), "bucket": pa.array([x[1] for x in got], pa.int32())} | {c: pa.array([x[2][i] for x in got], pa.binary()) for i, c in enumerate("xyz")})
-                rows.clear(), sigs.clear(), nodes.clear()
+                        got += [(1, k, [*x, b"", b""]) for k, x in packed(s % U64(count), [s, who])]
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([x[0] for x in got], pa.int32()), "bucket": pa.array([x[1] for x in got], pa.int32())} | {c: pa.array([x[2][i] for x in got], pa.binary()) for i, c in enumerate("xyzs")})
+                rows.clear(), sigs.clear(), nodes.clear(), bins.clear()
 
             for part, data, offs in chunks(batch):
                 for doc, (g, w) in zip(ids[part], shingle_sets(data, offs, n, usual.value), strict=True):
+                    bins.append(np.bincount((g >> U64(58)).astype(np.int64), minlength=BINS).clip(max=65535).astype(np.uint16))
                     if not len(g):
                         rows.append((doc, 0, 0))
                         continue
@@ -143,31 +150,39 @@ def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFra
                     for level in levels.of(len(w)):
                         sigs.append(mix(g + U64(level)))
                         nodes.append(node)
-                if sum(map(len, sigs)) > 1 << 20:
+                if sum(map(len, sigs)) > 1 << 20 or len(rows) > 1 << 14:
                     yield from out()
             yield from out()
 
     def meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         plain = [r for r in rows if r["kind"] == 0]
         a, b, size = (np.frombuffer(b"".join(r[c] for r in plain), np.int64) for c in "xyz")
+        sketch = [r["s"][i : i + 2 * BINS] for r in plain for i in range(0, len(r["s"]), 2 * BINS)]
         kind = np.zeros(len(a), np.int32)
         sig, node = np.frombuffer(b"".join(r["x"] for r in rows if r["kind"]), U64), np.frombuffer(b"".join(r["y"] for r in rows if r["kind"]), np.int64)
-        order = np.argsort(sig, kind="stable")
+        order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
         new = np.ones(len(sig) + 1, bool)
         new[1:-1] = sig[1:] != sig[:-1]
         inside = ~(new[:-1] & new[1:])
-        group, node = np.cumsum(new[:-1])[inside], node[inside]
-        if len(node):
-            names, who = np.unique(node, return_inverse=True)
-            first = np.r_[True, group[1:] != group[:-1]]
-            root = roots(len(names), who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))], who)
-            far = np.flatnonzero(root != np.arange(len(names)))
-            a, b = np.r_[a, names[root[far]]], np.r_[b, names[far]]
-            kind, size = np.r_[kind, np.ones(len(far), np.int32)], np.r_[size, np.zeros(len(far), np.int64)]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "n": pa.array(size)})
-
-    return keyed(docs.mapInArrow(emit, "kind int, bucket int, x binary, y binary, z binary"), meet, "kind int, a long, b long, n long")
+        new, node = new[:-1][inside], node[inside]
+        if len(node):  # a meeting is named by who is there, so that the same sets meet once
+            first = np.flatnonzero(new)
+            size1 = np.diff(np.r_[first, len(node)])
+            name = mix(np.add.reduceat(mix(node.view(U64)), first) + size1.astype(U64)).view(np.int64)
+            once = np.unique(name, return_index=True)[1]
+            keep = np.zeros(len(first), bool)
+            keep[once] = True
+            who = np.repeat(keep, size1)
+            a, b = np.r_[a, np.repeat(name, size1)[who]], np.r_[b, node[who]]
+            more = len(a) - len(kind)
+            kind, size, sketch = np.r_[kind, np.ones(more, np.int32)], np.r_[size, np.zeros(more, np.int64)], sketch + [None] * more
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "n": pa.array(size), "s": pa.array(sketch, pa.binary())})
+
+    return keyed(docs.mapInArrow(emit, "kind int, bucket int, x binary, y binary, z binary, s binary"), meet, "kind int, a long, b long, n long, s binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -195,16 +210,35 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 384, common: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 384, common: int = 100_000, wide: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id: components of links with num*|union| <= den*|intersection|, exactly."""
     levels = Levels(num, den)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     base = checkpointed(_candidates(docs, n, levels, common))
     rows = base.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
-    rep = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    pairs = base.where("kind = 1").select("a", "b")
-    pairs = pairs.join(rep.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(rep.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b")
-    groups = checkpointed(components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    rep = base.where("kind = 0 and n > 0").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"))
+
+    def near(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        held.sort(key=lambda r: (r["n"], r["rep"]))
+        ids, size = np.array([r["rep"] for r in held], np.int64), np.array([r["n"] for r in held], np.int64)
+        if len(held) > wide:
+            first = ids.min()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(ids) - 1, first)), "b": pa.array(ids[ids != first])})
+            return
+        bins = np.frombuffer(b"".join(r["s"] for r in held), np.uint16).astype(np.int32).reshape(-1, BINS)
+        left, right = [], []
+        last = np.searchsorted(size * num, size * den, "right")  # sizes within the threshold
+        for i in range(len(ids) - 1):
+            apart = np.abs(bins[i + 1 : last[i]] - bins[i]).sum(1)
+            j = i + 1 + np.flatnonzero(apart * (den + num) <= (den - num) * (size[i + 1 : last[i]] + size[i]))
+            left.append(np.full(len(j), i))
+            right.append(j)
+        root = roots(len(ids), np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)]))
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(ids[root[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
+
+    meetings = base.where("kind = 1").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct().join(rep, "node").select("meeting", "rep", "n", "s")
+    groups = checkpointed(components(keyed(meetings, near, "a long, b long", ("meeting",))))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     groups = groups.join(blocks, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("blob"), "k")
 
@@ -225,10 +259,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
         far = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_pydict({"a": pa.array(ids[root[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
 
-    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-    dealt = docs.join(groups, "doc_id").mapInArrow(sets, "doc_id long, blob long, k int, g binary").dropDuplicates(["doc_id", "g"])
+    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("k")).cast("int")
+    dealt = docs.join(groups, "doc_id").mapInArrow(sets, "doc_id long, blob long, k int, g binary")
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least(own, "j"), "j": F.greatest(own, "j")})
     links = components(keyed(dealt.select("blob", "i", "j", "doc_id", "g"), product, "a long, b long", ("blob", "i", "j")))
-    rep = rep.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
+    rep = rep.select("node", "rep").join(links.withColumnRenamed("id", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     full = rows.where("n_shingles > 0").join(rep, "node").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
