@@ -210,7 +210,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 384, common: int = 100_000, wide: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 1024, common: int = 100_000, wide: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id: components of links with num*|union| <= den*|intersection|, exactly."""
     levels = Levels(num, den)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
