@@ -134,7 +134,7 @@ def keyed(df: DataFrame, each: Callable[[list[dict]], Iterator[pa.RecordBatch]],
         held: list[dict] = []
         now = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(0, batch.num_rows, 256) for r in batch.slice(i, 256).to_pylist()):
                 k = tuple(row[c] for c in keys)
                 if k != now and held:
                     yield from each(held)

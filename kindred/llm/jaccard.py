@@ -253,9 +253,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
         ids = np.array([r["doc_id"] for r in held], np.int64)
         g = [np.frombuffer(r["g"], U64) for r in held]
         size = np.array([len(x) for x in g])
-        both = overlaps(g).astype(np.int64)
-        a, b = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
-        root = roots(len(ids), a, b)
+        both = overlaps(g)
+        found = []
+        for i in range(0, len(ids), 128):  # strips, so that the bounds need little memory
+            strip = both[i : i + 128].astype(np.int64)
+            a, b = np.nonzero(den * strip >= num * (size[i : i + 128, None] + size[None, :] - strip))
+            found.append((a[a + i < b] + i, b[a + i < b]))
+        root = roots(len(ids), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
         far = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_pydict({"a": pa.array(ids[root[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
 
