@@ -57,9 +57,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents_as_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents: the first 200 characters as name, language as country; sources 0 to 2 are the reference."""
+    """Documents: the whole text as name, language as country; sources 0 to 2 are the reference."""
     side = F.when(F.col("source").isin("src0", "src1", "src2"), "S1-").when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")
-    return table(spark, folder, "documents").select(F.concat(side, F.col("doc_id").cast("string")).alias("entity_id"), F.substring("text", 1, 200).alias("business_name"), F.lit("").alias("business_address"), F.col("lang").alias("country"))
+    return table(spark, folder, "documents").select(F.concat(side, F.col("doc_id").cast("string")).alias("entity_id"), F.col("text").alias("business_name"), F.lit("").alias("business_address"), F.col("lang").alias("country"))
 
 
 def parts_as_records(spark: SparkSession, folder: str) -> DataFrame:
