@@ -9,7 +9,10 @@ halved for each standard deviation beyond ``slack`` that the entropy lies above
 one; under ``reject`` the text counts as rejected.
 
 Counts are fitted on a sample: in expectation at most ``per_language`` documents of each language, by
-a hash of doc_id.  Prediction reads whole texts only, in one pass without a shuffle.
+a hash of doc_id, beside at most ``held`` kept out.  These are one share of every language's sample,
+large or small, and one document at least; a language with a single document has no usual entropy.
+The fewer there are, the more their deviation follows that of all languages.  Prediction reads whole
+texts only, in one pass without a shuffle.
 
 ``und``: null texts and texts without a letter (score 0).  Rows without a doc_id are left out; each
 repeated row gets its own result.  Without any labelled text all are ``und``.  Other columns are ignored.
@@ -185,11 +188,14 @@ class Model:
 def fit(docs: DataFrame, train: Column, per_language: int = 3000, held: int = 250) -> Model | None:
     """A model of the languages of the rows where ``train`` holds; see the module for the sample."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / (1 << 20))
-    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    many = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high")).collect()
     if not many:
         return None
-    share = F.create_map(*(F.lit(x) for kv in ((k, (per_language + held) / n) for k, n in many.items()) for x in kv))
-    sample = rows.where(F.col("u") < share[F.col("lang")]).select("lang", "text", (F.col("u") >= share[F.col("lang")] * per_language / (per_language + held)).alias("held"))
+    share = {r.lang: min(1.0, (per_language + held) / r.n) for r in many}
+    # the row of the least u is always counted; where all rows are in the sample, that of the greatest is always held
+    start = {r.lang: max(r.low + 2**-21, min(share[r.lang] * per_language / (per_language + held), r.high if share[r.lang] == 1 else 1.0)) for r in many}
+    share, start = (F.create_map(*(F.lit(x) for kv in d.items() for x in kv))[F.col("lang")] for d in (share, start))
+    sample = rows.where((F.col("u") < share) | (F.col("u") < start)).select("lang", "text", (F.col("u") >= start).alias("held"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,9 +225,13 @@ def fit(docs: DataFrame, train: Column, per_language: int = 3000, held: int = 25
         truth = np.array([model.langs.index(x) for x, _ in pieces])
         total, n = run([t for _, t in pieces])
         entropy = -total[np.arange(len(truth)), truth] / np.maximum(n, 1)
+        many = np.bincount(truth, minlength=len(model.langs))
+        mean = np.bincount(truth, entropy, len(model.langs)) / np.maximum(many, 1)
+        apart = np.bincount(truth, (entropy - mean[truth]) ** 2, len(model.langs))
+        every = apart.sum() / max(1, (many - 1).clip(0).sum())
         for i, x in enumerate(model.langs):
-            if (truth == i).any():
-                model.usual[x] = (float(entropy[truth == i].mean()), max(0.05, float(entropy[truth == i].std())))
+            if many[i]:
+                model.usual[x] = (float(mean[i]), max(0.05, math.sqrt((apart[i] + 5 * every) / (many[i] + 5) * (1 + 1 / many[i]))))
         short = [(i, t[:m]) for m in (6, 12, 24, 48) for i, (_, t) in zip(truth, pieces, strict=True) if any(map(str.isalpha, t[:m]))]
         total, n = run([t for _, t in short])
         who = np.array([i for i, _ in short])
