@@ -61,7 +61,9 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5, sma
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     rows = _fingerprints(rows, window, gram, short)
     rows = rows.select("doc_id", "text_hash", "words", F.explode(F.array_append("codes", F.lit(None).cast("long"))).alias("c"))
-    rows = rows.withColumn("mark", F.shiftright("c", 27)).join(sent(marks), "mark", "left").where("m is not null or c is null")
+    rows = rows.withColumn("mark", F.shiftright("c", 27)).join(sent(marks), "mark", "left")
+    # a code of a short length may meet a long item's mark in a document that has no whole window
+    rows = rows.where(F.col("c").isNull() | (F.col("m") <= F.size("words")))
     place = F.col("c").bitwiseAND(F.lit(PLACE)).cast("int")
     low = F.when(F.col("m") == window, F.greatest(F.lit(1), place - (window - gram))).otherwise(place)
     high = F.when(F.col("m") == window, F.least(place, F.size("words") - (window - 1))).otherwise(place)
