@@ -6,8 +6,9 @@ words, and beginnings of words; both learn their weights, log odds of the labels
 labelled texts.  Matches inside an exception phrase don't count.  The sum of the matched weights, and
 that sum divided by the text's length, enter a logistic score fitted on the same sample.
 
-The sample has in expectation at most ``fit_rows`` labelled documents, by a hash of doc_id; of those
-that share their least long word, as copies do, one stays.  An entry needs ``least`` toxic documents,
+The sample has in expectation at most ``fit_rows`` labelled documents, by a hash of doc_id.  Of equal
+folded texts with one label one stays, and of near copies with one label: those that agree in all
+``HASHES`` minimum hashes of one of ``BANDS`` bands, over pairs of neighbouring words.  An entry needs ``least`` toxic documents,
 or ``share`` of them if that is more; a beginning also needs three different words in toxic documents
 and half a unit more, as it reaches words that were never seen.  Scoring reads whole texts in one pass without a shuffle.
 
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import chunks
+from kindred.llm.common import U64, checkpointed, chunks, gram_hashes, mix, word_hashes, words_in
 
 # Characters that look like a Latin letter (Cyrillic, Greek), and substitutions within words.
 LOOKS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 #: Phrases in which a usual entry is harmless.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "trash collection", "clown fish", "clown nose", "pathetic fallacy", "worthless check", "pond scum", "soap scum")
+BANDS, HASHES = 3, 5
 _memo: dict[object, object] = {}
 
 
@@ -124,6 +126,19 @@ def _entries(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in (4, 5, 6, 7) if len(w) > n}
 
 
+def _bands(folded: str) -> list[int]:
+    """A key for each band: its minimum hashes over pairs of neighbouring words, or a hash of a shorter text."""
+    data = np.frombuffer(folded.encode(), np.uint8)
+    start, end, _ = words_in(data, np.array([0, len(data)]))
+    h = word_hashes(data, start, end)
+    h = gram_hashes(h, 2) if len(h) > 1 else h if len(h) else np.zeros(1, U64)
+    least = np.array([mix(h ^ x).min() for x in mix(np.arange(1, BANDS * HASHES + 1, dtype=U64))], U64).reshape(BANDS, HASHES)
+    key = least[:, 0]
+    for i in range(1, HASHES):
+        key = mix(key * U64(0xD6E8FEB86659FD93) + least[:, i])
+    return key.view(np.int64).tolist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 12000, least: int = 3, share: float = 0.01, log_odds: float = 4.0, entries: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from ``labels`` (doc_id, toxic) of the rows where ``train`` holds."""
     spark = docs.sparkSession
@@ -135,19 +150,24 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 12000
     labels = labels.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < F.lit(min(1.0, fit_rows / n) * (1 << 20))).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(labels), "doc_id")  # at most about fit_rows ids
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in chunks(batch):
-                got = [t for t in fold(data, offs)]
-                yield pa.RecordBatch.from_arrays([batch.column("y")[part.start : part.stop], pa.array([min((w for w in t.split() if len(w) > 5), key=lambda w: hash_of(w), default=t[:200]) for t in got]), pa.array([sorted(_entries(t)) for t in got], pa.list_(pa.string())), pa.array(got)], ["y", "like", "entries", "folded"])
+                got = list(fold(data, offs))
+                keys = np.array([_bands(t) for t in got], np.int64).reshape(-1, BANDS)
+                yield pa.RecordBatch.from_arrays([batch.column("y")[part.start : part.stop], pa.array(got), *map(pa.array, keys.T)], ["y", "folded", *bands])
 
-    def hash_of(w: str) -> int:
-        import zlib
-
-        return zlib.crc32(w.encode())
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("folded"), pa.array([sorted(_entries(t)) for t in batch.column("folded").to_pylist()], pa.list_(pa.string()))], ["y", "folded", "entries"])
 
     spread = spark.sparkContext.defaultParallelism
-    sample = rows.mapInArrow(words, "y int, like string, entries array<string>, folded string").groupBy("like").agg(F.min_by(F.struct("y", "entries", "folded"), "folded").alias("r")).select("r.*").repartition(spread)
+    bands = [f"b{i}" for i in range(BANDS)]
+    sample = rows.mapInArrow(texts, "y int, folded string, " + ", ".join(f"{b} long" for b in bands))
+    for b in bands:  # equal texts agree in the first
+        others = ["folded", *(x for x in bands if x != b)]
+        sample = sample.groupBy("y", b).agg(F.min_by(F.struct(*others), F.struct(F.xxhash64("folded"), "folded")).alias("r")).select("y", b, "r.*")
+    sample = checkpointed(sample.select("y", "folded").repartition(spread).mapInArrow(words, "y int, folded string, entries array<string>"))  # at most about fit_rows rows
     many = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = many.get(1, 0), sum(v for k, v in many.items() if k != 1)
     if not pos or not neg:
