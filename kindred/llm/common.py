@@ -2,11 +2,14 @@
 
 Texts reach Python as Arrow batches.  ``chunks`` turns a batch into runs of whole documents whose
 bytes lie in one numpy array, so that tokenising and hashing are vector operations whose memory is
-bounded by ``CHUNK`` (or by one document, if that is longer).
+bounded by ``CHUNK`` (or by one document, if that is longer).  Batches are bounded by ``BATCH``.
 """
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+BATCH = 4 << 20  # bytes of an Arrow batch, about
 U64 = np.uint64
 #: Byte classes: ASCII white space, and A-Z to a-z.
 SPACE = np.zeros(256, bool)
@@ -38,10 +42,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Unset, a run on one machine gets a temporary folder, removed at exit; a cluster gets an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="kindred-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -51,6 +64,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches bounded in bytes; the session keeps that bound, unless it has one of its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        released()
+
+    return df.mapInArrow(lean, schema)
+
+
+def released() -> None:
+    """Gives free memory back, so that a worker that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def buckets_of(spark: SparkSession) -> int:
     """How many keys the packed shuffles use: some for each shuffle partition, so that they grow with it."""
     return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -126,8 +160,8 @@ def packed(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, li
         yield int(k[a]), [c[a:b].tobytes() for c in columns]
 
 
-def keyed(df: DataFrame, each: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str, keys: tuple[str, ...] = ("bucket",)) -> DataFrame:
-    """``each`` gets all rows of a key at once; a task holds one key's rows at a time."""
+def keyed(df: DataFrame, each: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str, keys: tuple[str, ...] = ("bucket",), parts: int | None = None) -> DataFrame:
+    """``each`` gets all rows of a key at once; a task holds one key's rows at a time.  ``parts``: the number of tasks."""
     keys = list(keys)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +178,7 @@ def keyed(df: DataFrame, each: Callable[[list[dict]], Iterator[pa.RecordBatch]],
         if held:
             yield from each(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+    return mapped((df.repartition(parts, *keys) if parts else df.repartition(*keys)).sortWithinPartitions(*keys), stream, schema)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import U64, chunks, mix
+from kindred.llm.common import U64, chunks, mapped, mix
 
 ORDER = 4
 _tables: list[np.ndarray] = []
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = 3000, held: int = 25
                     c, n = np.unique(code[ok & (lang[part] == x)[doc]], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(c), pa.string()), "code": pa.array(c.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    got = sample.where("not held").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    got = mapped(sample.where("not held"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if not len(got):
         return None
     model = Model({x: (g["code"].to_numpy().view(U64), g["n"].to_numpy()) for x, g in got.groupby("lang")})
@@ -263,4 +263,4 @@ def predict(docs: DataFrame, model: Model | None, slack: float = 6.0, reject: fl
                 score = np.where(none, 0.0, score)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array(names[np.where(none, len(m.langs), best)], pa.string()), pa.array(score), pa.array(entropy, mask=none), pa.array(score < reject)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.mapInArrow(each, schema)
+    return mapped(docs, each, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import U64, chunks, mix, word_hashes, words_in
+from kindred.llm.common import U64, chunks, mapped, mix, word_hashes, words_in
 
 BITS = 16
 SHORT = 24  # texts of fewer words count as this long, so that a few words say little
@@ -133,7 +133,7 @@ def train(docs: DataFrame, fit_rows: int = 5000, epochs: int = 30) -> Scorer:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(at, pa.int32()), "n": pa.array(total[at])})
 
-    got = rows.mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3^7 rows
+    got = mapped(rows, count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3^7 rows
     if not len(got):
         return Scorer(np.zeros(1 << BITS), 0.0)
     label = np.full(3 ** len(LABELLERS), 0.5)
@@ -153,7 +153,7 @@ def train(docs: DataFrame, fit_rows: int = 5000, epochs: int = 30) -> Scorer:
                 yield pa.RecordBatch.from_pydict({c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate((("y", pa.float64()), ("k", pa.binary()), ("x", pa.binary())))})
 
     part = rows.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    data = part.mapInArrow(sample, "y double, k binary, x binary").toPandas()  # about fit_rows sparse rows
+    data = mapped(part, sample, "y double, k binary, x binary").toPandas()  # about fit_rows sparse rows
     w, b = np.zeros(1 << BITS), 0.0
     if not len(data):
         return Scorer(w, b)
@@ -185,7 +185,7 @@ def score(docs: DataFrame, scorer: Scorer, keep: float = 0.3) -> DataFrame:
                 f, doc, _, n = parts(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array(sent.value.score(f, doc, n))], ["doc_id", "score"])
 
-    return rows.mapInArrow(each, "doc_id long, score double").withColumn("keep", F.col("score") >= keep)
+    return mapped(rows, each, "doc_id long, score double").withColumn("keep", F.col("score") >= keep)
 
 
 def kept(docs: DataFrame, scorer: Scorer, keep: float = 0.3) -> DataFrame:
@@ -198,4 +198,4 @@ def kept(docs: DataFrame, scorer: Scorer, keep: float = 0.3) -> DataFrame:
                 f, doc, _, n = parts(data, offs)
                 yield batch.slice(part.start, part.stop - part.start).filter(pa.array(sent.value.score(f, doc, n) >= keep))
 
-    return docs.where("doc_id is not null").mapInArrow(each, docs.schema)
+    return mapped(docs.where("doc_id is not null"), each, docs.schema)
