@@ -6,19 +6,23 @@ construction, but with the sample chosen by content so that it synchronises all
 * Every window of ``length`` bytes selects one k-byte string in it (the leftmost least hash), so
   equal windows select the same string at the same place.  The selected positions are the sample,
   about one in (length - k) / 2.  The windows that select one position are neighbours: a *span*.
-* Suffix buckets are keyed by the selected string.  A bucket with one occurrence has no repeats.
-  Equal spans are named once: only the first occurrence of each is sorted further, all later ones
-  are repeats as a whole.
-* What is left is sorted one suffix bucket at a time, one window place at a time.  A comparison
-  reads ``PERIOD`` bytes and the precomputed rank of one cover-sample position, whose strings of
-  length - PERIOD bytes were ranked before; so ties longer than PERIOD cost one lookup, and memory
-  is bounded by a bucket's samples.  As buckets are aligned at their selected string, one residue
-  for each period covers all differences.
+* Suffix buckets are keyed by the hash of the selected string.  A bucket with one occurrence has no
+  repeats; of the others, the spans' bytes go to the bucket, each different span once for each run
+  of documents, with its first occurrence there (all later ones are repeats as a whole).
+* Buckets are sorted one at a time.  Sorting their whole spans leaves the first of each different one;
+  these are sorted one window place at a time.  A comparison reads ``PERIOD`` bytes and the rank of one
+  cover-sample position, whose strings of length - PERIOD bytes were ranked before, once for the whole
+  bucket; so ties longer than PERIOD cost one lookup, and memory is bounded by a bucket's samples.  As
+  buckets are aligned at their selected string, one residue for each period covers all differences.
+
+What is removed was compared byte by byte: the hash only decides which spans meet, so a hash that is
+equal by chance removes nothing.
 
 Repeats are judged on the input; the first occurrence (smallest doc_id, then start) stays.  Matches
 never cross documents.  Null texts are empty.  Rows without a doc_id are left out; of rows that repeat
 a doc_id the one with the smallest text counts.  Bytes that remain may cut a character in two: ``kept``
-is binary.  Other columns are ignored.
+is binary.  A very long text is hashed in parts and cut as a whole by one task, in memory in proportion
+to its length.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import _TABLE, U64, buckets_of, chunks, keyed, mix, packed
+from kindred.llm.common import _TABLE, U64, buckets_of, chunks, keyed, mapped, mix, packed
 
 GRAM = 32
 PERIOD = 32
@@ -59,13 +63,13 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def spans(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, place of the selected string after the first start, its hash, the span's hash)."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64))
+    """(document, first start, number of starts, place of the selected string after the first start, its hash)."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
     if len(data) < length:
         return none
     if len(data) > _PART:  # one very long document, in parts; a part's last windows reach into the next
         got = [(p, spans(data[p : p + _PART // 2 + length - 1], np.array([0, min(_PART // 2 + length - 1, len(data) - p)]), length)) for p in range(0, len(data), _PART // 2)]
-        return tuple(np.concatenate([x[i] + p * (i == 1) for p, x in got]) if i < 4 else np.concatenate([x[i] for _, x in got]) for i in range(6))
+        return tuple(np.concatenate([x[i] + p * (i == 1) for p, x in got]) if i < 4 else np.concatenate([x[i] for _, x in got]) for i in range(5))
     h = _TABLE[:256][data]
     for w in (1, 2, 4, 8, 16):
         h = _join(h, w)
@@ -82,13 +86,7 @@ def spans(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])])
     many = np.diff(np.r_[first, len(start)])
     s = start[first]
-    end = s + many - 1 + length
-    wide = _join(h, 32)
-    name = wide[s]
-    for at in (np.minimum(s + 52, end - 64), np.minimum(s + 104, end - 64), end - 64):
-        name = mix(name * _A + wide[at])
-    name = mix(name + (end - s).astype(U64) * _B + (pick[first] - s).astype(U64))
-    return doc[first], s - offs[doc[first]], many, pick[first] - s, mix(h[pick[first]]), name
+    return doc[first], s - offs[doc[first]], many, pick[first] - s, mix(h[pick[first]])
 
 
 def _ranks(c: np.ndarray) -> np.ndarray:
@@ -126,108 +124,145 @@ def sort_bucket(cls: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarra
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, text and ``runs``: the sorted maximal runs [start, end) of bytes to remove, as little-endian 64-bit pairs."""
-    if not GRAM + PERIOD + 4 <= length <= 132:  # four 64-byte hashes name a span of at most 2 * length - GRAM bytes
+    if not GRAM + PERIOD + 4 <= length <= 132:  # a span's number of starts and places fit in a byte
         raise ValueError("length must lie in 68..132")
     count, left = buckets_of(docs.sparkSession), length - GRAM
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            held: list[tuple] = []
+        held: list[tuple] = []
 
-            def out() -> Iterator[pa.RecordBatch]:
-                if held:
-                    doc, s, many, key, name = (np.concatenate(c) for c in zip(*held, strict=True))
-                    got = list(packed(key % U64(count), [key, name, doc, s.astype(np.int32), many.astype(np.uint8)]))
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcde")})
-                    held.clear()
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                doc, s, many, key = (np.concatenate(c) for c in zip(*held, strict=True))
+                got = list(packed(key % U64(count), [key, doc, s.astype(np.int32), many.astype(np.uint8)]))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcd")})
+                held.clear()
 
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for part, data, offs in chunks(batch):
-                doc, s, many, _, key, name = spans(data, offs, length)
-                held.append((ids[part][doc], s, many, key, name))
-                if sum(len(x[0]) for x in held) > 1 << 19:
-                    yield from out()
-            yield from out()
-
-    def name_spans(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        key, name, doc, s, many = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in zip("abcde", (U64, U64, np.int64, np.int32, np.uint8), strict=True))
+                doc, s, many, _, key = spans(data, offs, length)
+                held.append((ids[part][doc], s, many, key))
+            if sum(len(x[0]) for x in held) > 1 << 18:
+                yield from out()
+        yield from out()
+
+    def repeated(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The spans whose selected string has another occurrence."""
+        key, doc, s, many = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in zip("abcd", (U64, np.int64, np.int32, np.uint8), strict=True))
         order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = k[1:] == k[:-1]
+        same = key[order][1:] == key[order][:-1]
         keep = order[np.r_[same, False] | np.r_[False, same]]
-        key, name, doc, s, many = (x[keep] for x in (key, name, doc, s, many))
-        order = np.lexsort((s, doc, name, key))
-        key, name, doc, s, many = (x[order] for x in (key, name, doc, s, many))
-        if not len(key):
-            return
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        new = new_key | np.r_[True, name[1:] != name[:-1]]
-        group = np.cumsum(new_key) - 1
-        several = np.bincount(group, new)[group] > 1
-        keep = ~new | several
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[keep]), "s": pa.array(s[keep]), "many": pa.array(many[keep].astype(np.int32)), "key": pa.array(np.where(new, key.view(np.int64), 0)[keep]), "whole": pa.array(~new[keep])})
+        for a in range(0, len(keep), 1 << 16):
+            k = keep[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[k]), "s": pa.array(s[k]), "many": pa.array(many[k].astype(np.int32)), "key": pa.array(key[k].view(np.int64))})
 
-    marks = keyed(docs.mapInArrow(select, "bucket int, a binary, b binary, c binary, d binary, e binary"), name_spans, "doc_id long, s int, many int, key long, whole boolean")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("s", "many", "key", "whole")).alias("marks"))
+    marks = keyed(mapped(docs, select, "bucket int, a binary, b binary, c binary, d binary"), repeated, "doc_id long, s int, many int, key long")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("s", "many", "key")).alias("marks"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By bucket, spans that differ among some batches, and (without bytes) runs that repeat an earlier span of these."""
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for part, data, offs in chunks(batch):
                 sub = batch.slice(part.start, part.stop - part.start)
                 lists = sub.column("marks")
                 flat = lists.flatten()
                 size = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, int)
-                whole = flat.field("whole").to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(sub)), size)[~whole]
-                s, many, key = (flat.field(c).to_numpy(zero_copy_only=False)[~whole] for c in ("s", "many", "key"))
-                if not len(s):
-                    continue
-                at = offs[doc] + s
-                # the selected string's place is found again from the span itself, which fixes it
-                where = _selected(data, at, many, length)
-                ids = sub.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-                text = np.zeros((len(s), left + length), np.uint8)
-                lo = left - where
-                size = many + length - 1
-                cell = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                text[np.repeat(np.arange(len(s)), size), np.repeat(lo, size) + cell] = data[np.repeat(at, size) + cell]
-                got = list(packed((mix(key.view(U64)) % U64(count)), [key, ids, s.astype(np.int32), lo.astype(np.uint8), many.astype(np.uint8), text]))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcdef")})
+                doc = np.repeat(np.arange(len(sub)), size)
+                s, many, key = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "many", "key"))
+                if len(s):
+                    ids = sub.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+                    for a in range(0, len(s), 1 << 14):  # some MB of spans at a time
+                        k = slice(a, a + (1 << 14))
+                        held.append(_contexts(data, offs[doc[k]] + s[k], ids[k], s[k], many[k], key[k], length))
+                        if sum(len(x[0]) for x in held) > 1 << 15:
+                            yield from emit(held)
+        yield from emit(held)
+
+    def emit(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, ids, s, lo, many, text = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order, fresh = _sorted(key, lo, many, text, ids, s)
+        later = order[~fresh]
+        keep = order[fresh]
+        got = list(packed(mix(key[keep].view(U64)) % U64(count), [x[keep] for x in (key, ids, s, lo, many, text)]))
+        got += [(k, [*x, b"", b"", b""]) for k, x in packed(mix(ids[later].view(U64)) % U64(count), [ids[later], s[later], many[later]])]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcdef")})
 
     def classes(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        known = [r for r in rows if not r["d"]]
+        if known:
+            yield _runs(*(np.frombuffer(b"".join(r[c] for r in known), t) for c, t in zip("abc", (np.int64, np.int32, np.uint8), strict=True)), length)
+        rows = [r for r in rows if r["d"]]
+        if not rows:
+            return
         key, doc, s, lo, many = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in zip("abcde", (np.int64, np.int64, np.int32, np.uint8, np.uint8), strict=True))
-        text = np.frombuffer(b"".join(r["f"] for r in rows), np.uint8).reshape(len(key), -1)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        text = np.frombuffer(b"".join(r["f"] for r in rows), np.uint8).reshape(len(key), left + length)
+        cut = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[cut][1:] != key[cut][:-1], True])
         i = 0
-        while i < len(cut):  # whole suffix buckets, some thousand rows at a time
-            j = max(i + 1, int(np.searchsorted(cut, cut[i] + 8192)))
-            block = order[cut[i] : cut[j] if j < len(cut) else len(k)]
+        while i < len(first) - 1:  # whole suffix buckets, some thousand rows at a time
+            j = max(i + 1, int(np.searchsorted(first, first[i] + 8192, "right")) - 1)
+            block = cut[first[i] : first[j]]
             i = j
+            order, fresh = _sorted(key[block], lo[block], many[block], text[block], doc[block], s[block])
+            later, block = block[order[~fresh]], block[order[fresh]]
+            if len(later):
+                yield _runs(doc[later], s[later], many[later], length)
+            same = key[block][1:] == key[block][:-1]
+            block = block[np.r_[same, False] | np.r_[False, same]]  # buckets of several different spans
+            if not len(block):
+                continue
             low, begin = lo[block].astype(np.int64), s[block].astype(np.int64)
             got = list(sort_bucket(key[block], text[block], low, low + many[block] - 1, doc[block], begin - low, length))
             if got:
                 row = np.concatenate([r for r, _ in got])
                 place = np.concatenate([np.full(len(r), p) for r, p in got])
-                order2 = np.lexsort((place, row))
-                row, place = row[order2], place[order2]
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])
-                run = np.diff(np.r_[first, len(row)])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[block][row[first]]), "s": pa.array((begin - low)[row[first]] + place[first], pa.int32()), "many": pa.array(run, pa.int32())})
+                order = np.lexsort((place, row))
+                row, place = row[order], place[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])
+                run = np.diff(np.r_[new, len(row)])
+                yield _runs(doc[block][row[new]], (begin - low)[row[new]] + place[new], run, length)
 
-    detail = keyed(docs.join(marks, "doc_id").mapInArrow(contexts, "bucket int, a binary, b binary, c binary, d binary, e binary, f binary"), classes, "doc_id long, s int, many int")
-    detail = detail.groupBy("doc_id").agg(F.collect_list(F.struct("s", "many")).alias("more"))
+    found = keyed(mapped(docs.join(marks, "doc_id"), contexts, "bucket int, a binary, b binary, c binary, d binary, e binary, f binary"), classes, "doc_id long, s int, e int")
+    runs = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = []
-            for marks_, more in zip(batch.column("marks").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                runs.append(_union([(m["s"], m["s"] + m["many"] - 1 + length) for m in (marks_ or []) if m["whole"]] + [(m["s"], m["s"] + m["many"] - 1 + length) for m in (more or [])]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(runs, pa.binary())], ["doc_id", "text", "runs"])
+            got = [_union([(r["s"], r["e"]) for r in x or []]) for x in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(got, pa.binary())], ["doc_id", "text", "runs"])
 
-    return docs.join(marks, "doc_id", "left").join(detail, "doc_id", "left").mapInArrow(merge, "doc_id long, text string, runs binary")
+    return mapped(docs.join(runs, "doc_id", "left"), merge, "doc_id long, text string, runs binary")
+
+
+def _contexts(data: np.ndarray, at: np.ndarray, ids: np.ndarray, s: np.ndarray, many: np.ndarray, key: np.ndarray, length: int) -> list[np.ndarray]:
+    """Each span's bytes, aligned at its selected string, with what is known of it."""
+    left = length - GRAM
+    text = np.zeros((len(s), left + length), np.uint8)
+    lo = left - _selected(data, at, many, length)  # the selected string's place is found again from the span itself, which fixes it
+    size = many + length - 1
+    cell = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[np.repeat(np.arange(len(s)), size), np.repeat(lo, size) + cell] = data[np.repeat(at, size) + cell]
+    return [key, ids, s.astype(np.int32), lo.astype(np.uint8), many.astype(np.uint8), text]
+
+
+def _sorted(key: np.ndarray, lo: np.ndarray, many: np.ndarray, text: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, bytes and place; whether each is the first of equal spans)."""
+    words = np.ascontiguousarray(np.pad(text, ((0, 0), (0, -text.shape[1] % 8)))).view(">u8")
+    order = np.lexsort([s, doc, many, lo, *words.T, key])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (key, lo, many, *words.T):
+        x = x[order]
+        same &= x[1:] == x[:-1]
+    return order, np.r_[True, ~same][: len(order)]
+
+
+def _runs(doc: np.ndarray, s: np.ndarray, many: np.ndarray, length: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "s": pa.array(s, pa.int32()), "e": pa.array(s.astype(np.int64) + many + length - 1, pa.int32())})
 
 
 def _selected(data: np.ndarray, at: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
@@ -262,7 +297,7 @@ def removed(rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in chunks(batch, 4 << 20):
+            for part, data, offs in chunks(batch):
                 out: list[tuple] = []
                 runs = batch.column("runs")
                 for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
@@ -274,7 +309,7 @@ def removed(rows: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return mapped(rows, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def kept_texts(rows: DataFrame) -> DataFrame:
@@ -284,4 +319,4 @@ def kept_texts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return removed(rows).select("doc_id", "kept").mapInArrow(cut, "doc_id long, text string")
+    return mapped(removed(rows).select("doc_id", "kept"), cut, "doc_id long, text string")
