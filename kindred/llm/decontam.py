@@ -6,11 +6,13 @@ texts that share ``window`` consecutive words keep a common hash there.  Trainin
 fingerprints are joined, each hit is extended to the windows around it, and those are compared word
 for word with the item's, so hash collisions never count.
 
-The documents are read once and only hits are shuffled.  The benchmark's fingerprints and windows are
-broadcast where their counted rows are at most ``small``; beyond that both joins shuffle.
+The benchmark's fingerprints and windows are broadcast where their counted rows are at most ``small``:
+then the documents are read once and only hits are shuffled.  Beyond that the documents' codes are
+shuffled without their words, what they meet is gathered by document and joined to the texts once, and
+the windows around hits are joined by their words.  Both plans give the same rows.
 
 Items of fewer words than ``window`` are one window each, looked up at every place.  Null texts have
-no words.  Rows without a doc_id, and items without an id, are left out; rows that repeat both doc_id
+no words.  A very long text is one array of words in one task.  Rows without a doc_id, and items without an id, are left out; rows that repeat both doc_id
 and text give one row.  Other columns are ignored.
 """
 
@@ -56,12 +58,19 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5, sma
     for n in short:
         marks = marks.unionByName(sized.where(F.col("m") == n).withColumn("codes", _codes(n)).select(F.explode("codes").alias("c"), F.lit(n).alias("m")))
     marks = marks.select(F.shiftright("c", 27).alias("mark"), "m").distinct()
-    sent = F.broadcast if max(marks.count(), windows.count()) <= small else (lambda df: df)
+    fits = max(marks.count(), windows.count()) <= small
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    rows = _fingerprints(rows, window, gram, short)
-    rows = rows.select("doc_id", "text_hash", "words", F.explode(F.array_append("codes", F.lit(None).cast("long"))).alias("c"))
-    rows = rows.withColumn("mark", F.shiftright("c", 27)).join(sent(marks), "mark", "left")
+    none = F.lit(None).cast("long")
+    if fits:
+        rows = _fingerprints(rows, window, gram, short).select("doc_id", "text_hash", "words", F.explode(F.array_append("codes", none)).alias("c"))
+        rows = rows.withColumn("mark", F.shiftright("c", 27)).join(F.broadcast(marks), "mark", "left")
+    else:  # codes travel without their texts, which meet what was found for them again
+        codes = _fingerprints(rows, window, gram, short).select("doc_id", "text_hash", F.explode("codes").alias("c")).withColumn("mark", F.shiftright("c", 27))
+        met = codes.join(marks, "mark").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("c", "m")).alias("met"))
+        rows = rows.join(met, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "met")
+        blank = F.struct(none.alias("c"), F.lit(None).cast("int").alias("m"))
+        rows = rows.select("doc_id", "text_hash", "words", F.explode(F.array_append(F.coalesce("met", F.array().cast("array<struct<c:bigint,m:int>>")), blank)).alias("x")).select("doc_id", "text_hash", "words", "x.c", "x.m")
     # a code of a short length may meet a long item's mark in a document that has no whole window
     rows = rows.where(F.col("c").isNull() | (F.col("m") <= F.size("words")))
     place = F.col("c").bitwiseAND(F.lit(PLACE)).cast("int")
@@ -70,7 +79,7 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = 10, gram: int = 5, sma
     rows = rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), "m", low.alias("low"), high.alias("high"), F.when(F.col("m").isNotNull(), F.slice("words", low, high - low + F.col("m"))).alias("near"))
     found = rows.select("doc_id", "text_hash", "n_words", "m", "low", "near", F.explode(F.when(F.col("m").isNotNull(), F.sequence("low", "high")).otherwise(F.array(F.lit(0)))).alias("first"))
     found = found.select("doc_id", "text_hash", "n_words", "m", "first", F.array_join(F.slice("near", F.col("first") - F.col("low") + 1, F.col("m")), " ").alias("run"))
-    found = found.join(sent(windows), ["m", "run"], "left").where("item_id is not null or first = 0")
+    found = found.join(F.broadcast(windows) if fits else windows, ["m", "run"], "left").where("item_id is not null or first = 0")
     return found.select("doc_id", "text_hash", "n_words", "item_id", "first", (F.col("first") + F.col("m") - 1).alias("last"))
 
 
