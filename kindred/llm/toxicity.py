@@ -9,10 +9,11 @@ that sum divided by the text's length, enter a logistic score fitted on the same
 The sample has in expectation at most ``fit_rows`` labelled documents, by a hash of doc_id.  Of equal
 folded texts with one label one stays, and of near copies with one label: those that agree in all
 ``HASHES`` minimum hashes of one of ``BANDS`` bands, over pairs of neighbouring words.  An entry needs ``least`` toxic documents,
-or ``share`` of them if that is more; a beginning also needs three different words in toxic documents
+or ``share`` of them if that is more, and the heaviest ``entries`` of them make the lexicon; a beginning also needs three different words in toxic documents
 and half a unit more, as it reaches words that were never seen.  Scoring reads whole texts in one pass without a shuffle.
 
-Null and empty texts have no match and the score of one.  Without labels of both kinds the lexicon is
+A very long text is folded and matched as a whole by one task, in time and memory in proportion to its
+length.  Null and empty texts have no match and the score of one.  Without labels of both kinds the lexicon is
 empty and every score is 0.  Rows without a doc_id are left out; repeated rows are each scored.  Other
 columns are ignored.
 """
@@ -20,15 +21,16 @@ columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import U64, checkpointed, chunks, gram_hashes, mix, word_hashes, words_in
+from kindred.llm.common import U64, checkpointed, chunks, gram_hashes, mapped, mix, word_hashes, words_in
 
 # Characters that look like a Latin letter (Cyrillic, Greek), and substitutions within words.
 LOOKS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}
@@ -111,7 +113,11 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or x > best[start][1]:
                 best[start] = (end, x)
-        return [(s, e, x) for s, (e, x) in best.items() if not any(p <= s and e <= q for p, q in spared)]
+        if not spared:
+            return [(s, e, x) for s, (e, x) in best.items()]
+        spared.sort()
+        starts, reach = [p for p, _ in spared], list(accumulate((q for _, q in spared), max))  # the furthest end of phrases that start so early
+        return [(s, e, x) for s, (e, x) in best.items() if not (i := bisect_right(starts, s)) or reach[i - 1] < e]
 
     def features(self, folded: str) -> tuple[float, float, int]:
         """(log of the weight, log of the weight per 100 characters, matches)."""
@@ -163,11 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 12000
 
     spread = spark.sparkContext.defaultParallelism
     bands = [f"b{i}" for i in range(BANDS)]
-    sample = rows.mapInArrow(texts, "y int, folded string, " + ", ".join(f"{b} long" for b in bands))
+    sample = mapped(rows, texts, "y int, folded string, " + ", ".join(f"{b} long" for b in bands))
     for b in bands:  # equal texts agree in the first
         others = ["folded", *(x for x in bands if x != b)]
         sample = sample.groupBy("y", b).agg(F.min_by(F.struct(*others), F.struct(F.xxhash64("folded"), "folded")).alias("r")).select("y", b, "r.*")
-    sample = checkpointed(sample.select("y", "folded").repartition(spread).mapInArrow(words, "y int, folded string, entries array<string>"))  # at most about fit_rows rows
+    sample = checkpointed(mapped(sample.select("y", "folded").repartition(spread), words, "y int, folded string, entries array<string>"))  # at most about fit_rows rows
     many = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = many.get(1, 0), sum(v for k, v in many.items() if k != 1)
     if not pos or not neg:
@@ -192,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 12000
             f = [first.features(t)[:2] for t in batch.column("folded").to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "a": pa.array([x for x, _ in f], pa.float64()), "b": pa.array([x for _, x in f], pa.float64())})
 
-    fitted = sample.where(half == 1).select("y", "folded").mapInArrow(points, "y int, a double, b double").groupBy("y", "a", "b").agg(F.count("*").alias("n")).toPandas()  # at most about fit_rows rows
+    fitted = mapped(sample.where(half == 1).select("y", "folded"), points, "y int, a double, b double").groupBy("y", "a", "b").agg(F.count("*").alias("n")).toPandas()  # at most about fit_rows rows
     x = np.c_[np.ones(len(fitted)), fitted["a"], fitted["b"]]
     y, n = (fitted["y"] == 1).to_numpy(float), fitted["n"].to_numpy(float)
     n = n / max(1.0, n.sum())
@@ -223,4 +229,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])))], ["doc_id", "score", "n_matches", "spans"])
 
-    return docs.mapInArrow(each, "doc_id long, score double, n_matches int, spans array<struct<start:int,end:int,weight:double>>")
+    return mapped(docs, each, "doc_id long, score double, n_matches int, spans array<struct<start:int,end:int,weight:double>>")
