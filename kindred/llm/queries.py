@@ -47,7 +47,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lattice.score(_read(spark, sf_dir, "documents"), _fold(10) != 0)
-    return rows.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
