@@ -9,7 +9,7 @@ ABBR = f"map([{quoted(V.ABBREVIATIONS)}], [{quoted(V.ABBREVIATIONS.values())}])"
 DOMAIN = V.DOMAIN
 
 DOC = """select case when source in ('src0','src1','src2') then 'S1-' when doc_id % 2 = 0 then 'S2-' else 'S3-' end || doc_id as entity_id,
- substring(text, 1, 200) as business_name, '' as business_address, lang as country from documents"""
+ text as business_name, '' as business_address, lang as country from documents"""
 PART = """select 'S' || (1 + p_partkey % 3) || '-' || p_partkey as entity_id, p_name || ' Pvt. Ltd.' as business_name,
  'No. ' || (p_partkey % 40 + 1) || ', ' || p_brand || ' ' || p_size || ' ' || p_type || ' St' as business_address, p_type as country from part"""
 COMPANY = """select 'S1-' || s_suppkey as entity_id, s_name as business_name, '' as business_address, n_name as country from supplier join nation on s_nationkey = n_nationkey
