@@ -1,10 +1,8 @@
 """String and set similarity.
 
-Sets and ratios are native.  A ratio is 100 * 2 * LCS / (length + length); the longest common
-subsequence runs bit-parallel (Hyyro 2004) on one 62-bit mask inside ``aggregate``, so one of the two
-strings may have at most 62 characters on that path; longer pairs take the textbook table, also native but
-slow.  ``any_ratio`` (for addresses), the token-set ratio, Jaro-Winkler and the best partial window are Arrow
-functions, which share one pass through Python.
+Sets are native.  A ratio is 100 * 2 * LCS / (length + length); the longest common subsequence runs
+bit-parallel (Hyyro 2004) on whole-string masks.  Ratios, Jaro-Winkler and the best partial window are
+Arrow functions: those of one projection share one pass through Python.
 """
 
 from __future__ import annotations
@@ -28,38 +26,6 @@ def coverage(a: Column, b: Column, of: Column) -> Column:
     return shared(a, b) / F.greatest(F.lit(1), F.size(of))
 
 
-def _letters(s: Column) -> Column:
-    return F.when(F.char_length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
-
-
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence."""
-    short, long = F.when(F.char_length(a) <= F.char_length(b), a).otherwise(b), F.when(F.char_length(a) <= F.char_length(b), b).otherwise(a)
-    m = F.char_length(short)
-    full = F.shiftleft(F.lit(1).cast("long"), 62) - 1
-    places = F.transform(_letters(short), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    mask = lambda ch: F.aggregate(places, F.lit(0).cast("long"), lambda acc, p: F.when(p.c == ch, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.i))).otherwise(acc))
-
-    def step(v: Column, ch: Column) -> Column:
-        u = v.bitwiseAND(mask(ch))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-
-    # zero bits of the final row among the first m count the matches
-    last = F.aggregate(_letters(long), full, step)
-    used = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
-    quick = m - F.bit_count(last.bitwiseAND(used))
-    zero = F.array_repeat(F.lit(0), m + 1)
-    row = lambda prev, ch: F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), lambda cur, j: F.array_append(cur, F.when(F.get(_letters(short), j - 1) == ch, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.get(cur, j - 1)))))
-    slow = F.get(F.aggregate(_letters(long), zero, row), m)
-    return F.when(m == 0, 0).when(m <= 62, quick).otherwise(slow)
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """Normalised Indel similarity, 0 to 100; two empty strings are equal."""
-    n = F.char_length(a) + F.char_length(b)
-    return F.when(n == 0, 100.0).when(a == b, 100.0).otherwise(200.0 * lcs(a, b) / F.nullif(n, F.lit(0)))
-
-
 def _sorted(tokens: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
@@ -83,7 +49,7 @@ def _lcs(a: str, b: str) -> int:
 
 def indel(a: str, b: str) -> float:
     n = len(a) + len(b)
-    return 100.0 if not n else 200.0 * _lcs(a, b) / n
+    return 100.0 if a == b else 200.0 * _lcs(a, b) / n
 
 
 def token_set(a: str, b: str) -> float:
@@ -152,8 +118,8 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return _arrow(token_set, a, b)
 
 
-def any_ratio(a: Column, b: Column) -> Column:
-    """``ratio`` for strings of any length."""
+def ratio(a: Column, b: Column) -> Column:
+    """Normalised Indel similarity, 0 to 100; two empty strings are equal."""
     return _arrow(indel, a, b)
 
 

@@ -122,15 +122,13 @@ def basic_tokens(c: Column) -> Column:
     s = F.regexp_replace(F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus ")), "[^a-z0-9]+", " ")
     number = F.transform(split_tokens(s), lambda t: F.regexp_replace(t, "^0+(?=[0-9]+$)", ""))
     known = _dictionary(V.ABBREVIATIONS)
-    return F.flatten(F.transform(number, lambda t: F.split(F.coalesce(known[t], t), " ")))
+    return F.flatten(F.transform(number, lambda t: F.when(t.isin(*V.ABBREVIATIONS), F.split(known[t], " ")).otherwise(F.array(t))))  # a hashed test before the map
 
 
 def name_columns(raw: Column) -> dict[str, Column]:
     """name_norm, name_core, name_nospace, is_domain, name_nonlatin."""
-    stem = F.replace(F.regexp_extract(F.replace(F.lower(stripped(raw)), F.lit(" "), F.lit("")), V.DOMAIN, 1), F.lit("-"), F.lit(""))
-    is_domain = F.regexp_extract(F.replace(F.lower(stripped(raw)), F.lit(" "), F.lit("")), V.DOMAIN, 1) != ""
-    tokens = F.col("_name_tokens")
-    core = F.filter(tokens, lambda t: ~t.isin(V.LEGAL_SUFFIXES))
+    stem, tokens, core = F.col("_stem"), F.col("_name_tokens"), F.col("_core")
+    is_domain = stem != ""
     core = F.when(F.size(core) > 0, core).otherwise(tokens)
     pick = lambda plain: F.when(is_domain, stem).otherwise(plain)
     return {
@@ -146,7 +144,7 @@ def address_columns(raw: Column) -> dict[str, Column]:
     """addr_norm, addr_words, addr_nums, house_num, addr_empty."""
     tokens = F.col("_addr_tokens")
     numbers = F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t.rlike("^[0-9]+$"))))
-    words = F.filter(tokens, lambda t: t.rlike("^[a-z]{2,}$") & ~t.isin(V.ADDRESS_STOP))
+    words = F.filter(tokens, lambda t: t.rlike("^[a-z]{2,}$") & ~t.isin(*V.ADDRESS_STOP))
     parts = F.transform(F.split(raw, ","), lambda p: F.regexp_extract(F.regexp_replace(F.lower(stripped(p)), V.HOUSE_MARKER, ""), V.HOUSE_NUMBER, 1))
     house = F.coalesce(F.try_element_at(F.filter(parts, lambda p: p != ""), F.lit(1)), F.lit(""))
     blank = stripped(raw) == ""
@@ -166,6 +164,9 @@ def normalise(records: DataFrame, indic: bool = False) -> DataFrame:
     if indic:
         records = records.withColumns({"_name": transliterated(F.col("business_name")), "_addr": transliterated(F.col("business_address"))})
     name, addr = (F.col("_name"), F.col("_addr")) if indic else (F.col("business_name"), F.col("business_address"))
-    out = records.withColumns({"_name_tokens": basic_tokens(name), "_addr_tokens": basic_tokens(addr)})
+    bare = F.replace(F.lower(stripped(F.col("business_name"))), F.lit(" "), F.lit(""))
+    stem = F.replace(F.regexp_extract(bare, V.DOMAIN, 1), F.lit("-"), F.lit(""))
+    out = records.withColumns({"_name_tokens": basic_tokens(name), "_addr_tokens": basic_tokens(addr), "_stem": stem})
+    out = out.withColumn("_core", F.filter("_name_tokens", lambda t: ~t.isin(*V.LEGAL_SUFFIXES)))
     out = out.withColumns(name_columns(F.col("business_name")) | address_columns(addr) | {"src": F.substring("entity_id", 1, 2)})
-    return out.drop("_name_tokens", "_addr_tokens", "_name", "_addr")
+    return out.drop("_name_tokens", "_addr_tokens", "_name", "_addr", "_stem", "_core")

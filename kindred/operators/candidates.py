@@ -1,7 +1,8 @@
 """Candidate pairs: for each query the top k pool records by TF-IDF cosine, in several channels.
 
-Terms are joined by (country, term) after document-frequency pruning, which bounds how many postings
-a term has; each query's best stay by a ranked window, which Spark prunes before its shuffle.
+All channels are one plan: terms carry their channel, so each side is normalised and counted once.  They
+are joined by (channel, country, term) after document-frequency pruning, which bounds how many postings a
+term has; each query's best stay by a ranked window, which Spark prunes before its shuffle.
 """
 
 from __future__ import annotations
@@ -38,49 +39,69 @@ def channels(most: float = 0.02, most_chars: float = 0.05) -> dict[str, Channel]
     }
 
 
-def terms(records: DataFrame, channel: Channel) -> DataFrame:
-    """entity_id, country, term, tf."""
-    if channel.chars:
-        n = channel.chars
-        grams = F.transform(F.sequence(F.lit(1), F.char_length(channel.text) - (n - 1)), lambda i: F.substr(channel.text, i, F.lit(n)))
-        split = F.when(F.char_length(channel.text) >= n, grams).otherwise(F.array().cast("array<string>"))
-    else:
-        split = F.array_remove(F.split(channel.text, " "), "")
-    return records.select("entity_id", "country", F.explode(split).alias("term")).groupBy("entity_id", "country", "term").agg(F.count("*").alias("tf"))
-
-
-def idf(pool: DataFrame, channel: Channel) -> DataFrame:
-    """country, term, idf of the pool's terms that count: ln((1+N)/(1+df)) + 1."""
-    if channel.pool is not None:
-        pool = pool.where(channel.pool)
-    size = pool.groupBy("country").agg(F.count("*").alias("n"))
-    df = terms(pool, channel).groupBy("country", "term").agg(F.count("*").alias("df"))
-    kept = df.join(size, "country").where((F.col("df") >= channel.least) & (F.col("df") <= channel.most * F.col("n")))
-    return kept.select("country", "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+def terms(records: DataFrame, table: dict[str, Channel], pool: bool = False) -> DataFrame:
+    """channel, entity_id, country, term, tf of all channels, in one pass; a pool has only the records that a channel allows."""
+    rows = [_marked(name, c, pool) for name, c in table.items()]
+    every = F.concat(*rows) if len(rows) > 1 else rows[0]
+    return records.select("entity_id", "country", F.explode(every).alias("x")).select("x.channel", "entity_id", "country", "x.term").groupBy("channel", "entity_id", "country", "term").agg(F.count("*").alias("tf"))
 
 
-def weights(records: DataFrame, channel: Channel, table: DataFrame) -> DataFrame:
-    """entity_id, country, term, w: TF-IDF weights of known terms, of length 1 for each record."""
-    w = terms(records, channel).join(table, ["country", "term"]).withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))
-    return w.select("entity_id", "country", "term", (F.col("w") / norm).alias("w"))
+def _marked(name: str, c: Channel, pool: bool) -> Column:
+    """A record's terms in a channel."""
+    none = F.array().cast("array<string>")
+    if c.chars:
+        grams = F.transform(F.sequence(F.lit(1), F.char_length(c.text) - (c.chars - 1)), lambda i: F.substr(c.text, i, F.lit(c.chars)))
+        split = F.when(F.char_length(c.text) >= c.chars, grams).otherwise(none)
+    else:
+        split = F.array_remove(F.split(c.text, " "), "")
+    if pool and c.pool is not None:
+        split = F.when(c.pool, split).otherwise(none)
+    return F.transform(split, lambda t: F.struct(F.lit(name).alias("channel"), t.alias("term")))
 
 
-def best(pairs: DataFrame, score: str, top: int) -> DataFrame:
-    order = Window.partitionBy("s1_id").orderBy(F.desc(score), "cand_id")
-    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+def _by_channel(table: dict[str, Channel], value) -> Column:
+    """A value of each row's channel."""
+    out = None
+    for name, c in table.items():
+        out = F.when(F.col("channel") == name, F.lit(value(c))) if out is None else out.when(F.col("channel") == name, F.lit(value(c)))
+    return out
+
+
+def idf(pool: DataFrame, table: dict[str, Channel], counted: DataFrame) -> DataFrame:
+    """channel, country, term, idf of the pool's terms that count: ln((1+N)/(1+df)) + 1."""
+    sizes = pool.groupBy("country").agg(*(F.count_if(F.lit(True) if c.pool is None else c.pool).alias(name) for name, c in table.items()))
+    df = counted.groupBy("channel", "country", "term").agg(F.count("*").alias("df")).join(sizes, "country")
+    n = None
+    for name in table:
+        n = F.when(F.col("channel") == name, F.col(name)) if n is None else n.when(F.col("channel") == name, F.col(name))
+    df = df.select("channel", "country", "term", "df", n.alias("n"))
+    kept = df.where((F.col("df") >= _by_channel(table, lambda c: c.least)) & (F.col("df") <= _by_channel(table, lambda c: float(c.most)) * F.col("n")))
+    return kept.select("channel", "country", "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def weights(counted: DataFrame, table: DataFrame) -> DataFrame:
+    """channel, entity_id, country, term, w: TF-IDF weights of known terms, of length 1 for each record and channel."""
+    w = counted.join(table, ["channel", "country", "term"]).withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("channel", "entity_id")))
+    return w.select("channel", "entity_id", "country", "term", (F.col("w") / norm).alias("w"))
+
+
+def ranked(queries: DataFrame, pool: DataFrame, table: dict[str, Channel]) -> DataFrame:
+    """channel, s1_id, cand_id, cos: rounded to 6 digits, above the least cosine, the best of each channel, ties by id."""
+    counted = terms(pool, table, pool=True)
+    known = idf(pool, table, counted)
+    q = weights(terms(queries, table), known).withColumnsRenamed({"entity_id": "s1_id", "w": "a"})
+    p = weights(counted, known).withColumnsRenamed({"entity_id": "cand_id", "w": "b"})
+    dots = q.join(p, ["channel", "country", "term"]).groupBy("channel", "s1_id", "cand_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("cos"))
+    order = Window.partitionBy("channel", "s1_id").orderBy(F.desc("cos"), "cand_id")
+    most = max(c.top for c in table.values())
+    best = dots.where(F.col("cos") > LEAST_COSINE).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return best.where(F.col("_r") <= _by_channel(table, lambda c: c.top)).drop("_r")
 
 
 def topk(queries: DataFrame, pool: DataFrame, channel: Channel) -> DataFrame:
-    """s1_id, cand_id, cos_<channel>: rounded to 6 digits, above the least cosine, ties by id."""
-    table = idf(pool, channel)
-    if channel.pool is not None:
-        pool = pool.where(channel.pool)
-    q = weights(queries, channel, table).select(F.col("entity_id").alias("s1_id"), "country", "term", F.col("w").alias("a"))
-    p = weights(pool, channel, table).select(F.col("entity_id").alias("cand_id"), "country", "term", F.col("w").alias("b"))
-    name = f"cos_{channel.name}"
-    dots = q.join(p, ["country", "term"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias(name))
-    return best(dots.where(F.col(name) > LEAST_COSINE), name, channel.top)
+    """s1_id, cand_id, cos_<channel>."""
+    return ranked(queries, pool, {channel.name: channel}).select("s1_id", "cand_id", F.col("cos").alias(f"cos_{channel.name}"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -94,7 +115,10 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def block(queries: DataFrame, pool: DataFrame, table: dict[str, Channel] | None = None) -> DataFrame:
-    return union([topk(queries, pool, c) for c in (table or channels()).values()])
+    """Pairs of all channels, with a cosine for each; a channel that lacks a pair gives 0."""
+    table = table or channels()
+    score = lambda name: F.max(F.when(F.col("channel") == name, F.col("cos")).otherwise(0.0)).alias(f"cos_{name}")
+    return ranked(queries, pool, table).groupBy("s1_id", "cand_id").agg(*(score(name) for name in sorted(table)))
 
 
 def recall(cands: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:

@@ -30,11 +30,13 @@ def kept(pairs: DataFrame, score: str = "cos_emb", digits: int = 5) -> DataFrame
 
 def exact(queries: DataFrame, pool: DataFrame, block: int = 2048) -> DataFrame:
     """s1_id, cand_id, cos_emb over (entity_id, country, embedding); an equi-join on (country, pair of blocks)."""
-    deal = lambda df, name: df.withColumn(name, F.floor(F.row_number().over(Window.partitionBy("country").orderBy("entity_id")) / block).cast("int"))
-    counts = pool.groupBy("country").agg(F.floor(F.count("*") / block).cast("int").alias("last"))
-    q = queries.join(counts, "country").withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("last")))).select("country", "pb", F.col("entity_id").alias("id"), "embedding", F.lit(True).alias("query"))
-    p = deal(pool, "pb").select("country", "pb", F.col("entity_id").alias("id"), "embedding", F.lit(False).alias("query"))
-    return kept(_within(q.unionByName(p), ["country", "pb"]))
+    size = lambda df, name: df.groupBy("country").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    counts = size(queries, "nq").join(size(pool, "np"), "country")
+    own = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, q, p, query: df.join(counts, "country").withColumns({"qb": q, "pb": p}).select("country", "qb", "pb", F.col("entity_id").alias("id"), "embedding", F.lit(query).alias("query"))
+    rows = side(queries, own("nq"), every("np"), True).unionByName(side(pool, every("nq"), own("np"), False))
+    return kept(_within(rows, ["country", "qb", "pb"]))
 
 
 def _within(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,7 +81,6 @@ def house_features() -> dict[str, Column]:
 
 
 def ratio_features() -> dict[str, Column]:
-    """Native ratios of short strings."""
     c = F.col
     filled = lambda x, y, e: F.when((c(x) == "") | (c(y) == ""), 0.0).otherwise(e)
     return {
@@ -94,7 +93,7 @@ def arrow_features() -> dict[str, Column]:
     c = F.col
     filled = lambda e: F.when((c("addr_norm1") == "") | (c("addr_norm2") == ""), 0.0).otherwise(e)
     return {
-        "name_tsr": S.token_set_ratio(c("name_core1"), c("name_core2")), "addr_tsr": S.token_set_ratio(c("addr_norm1"), c("addr_norm2")), "addr_ratio": filled(S.any_ratio(c("addr_norm1"), c("addr_norm2"))),
+        "name_tsr": S.token_set_ratio(c("name_core1"), c("name_core2")), "addr_tsr": S.token_set_ratio(c("addr_norm1"), c("addr_norm2")), "addr_ratio": filled(S.ratio(c("addr_norm1"), c("addr_norm2"))),
         "name_partial": S.partial_ratio(c("name_core1"), c("name_core2")), "name_ns_partial": S.partial_ratio(c("name_nospace1"), c("name_nospace2")),
         "addr_partial": S.partial_ratio(c("addr_norm1"), c("addr_norm2")), "name_jw": S.jaro_winkler(c("name_core1"), c("name_core2")),
     }

@@ -81,7 +81,13 @@ def _text_pairs(spark: SparkSession, d: str, least: float) -> DataFrame:
 PAIRS = sql.SCORED + "pairs as (select a.name_norm as a, b.name_norm as b from scored join rec a on s1_id = a.entity_id join rec b on cand_id = b.entity_id where prob >= {least}),\n"
 
 
-@query(PREC + f"c as ({sql.topk('rec', sql.ADDR, 8, 0.5)}), pairs as (select a.name_norm as a, b.name_norm as b from c join rec a on s1_id = a.entity_id join rec b on cand_id = b.entity_id),\n" + """d as (select la, list_filter(list_distinct(la), lambda t: not list_contains(lb, t)) as da, list_filter(list_distinct(lb), lambda t: not list_contains(la, t)) as db
+#: Suppliers and customers of one number, under names that stand for each other.
+ALIKE = """with pairs as (select case s_suppkey % 4 when 0 then 'supplier' when 1 then 'trading house' else 'vendor' end || ' ' || s_suppkey as a,
+ case s_suppkey % 4 when 0 then 'suppl' when 1 then 'th' else 'vndr' end || ' ' || c_custkey as b from supplier join customer on s_suppkey = c_custkey),
+"""
+
+
+@query(ALIKE + """d as (select la, list_filter(list_distinct(la), lambda t: not list_contains(lb, t)) as da, list_filter(list_distinct(lb), lambda t: not list_contains(la, t)) as db
  from (select list_filter(str_split(a, ' '), lambda t: t <> '') as la, list_filter(str_split(b, ' '), lambda t: t <> '') as lb from pairs)),
 e as (select * from d where len(da) between 1 and 2 and len(db) between 1 and 2),
 na as (select x, count(*) as na from (select unnest(da) as x from e) group by x), nb as (select y, count(*) as nb from (select unnest(db) as y from e) group by y),
@@ -95,10 +101,10 @@ one2 as (select o.y, o.x, o.c, coalesce(u.n, 0) > coalesce(v.n, 0) as turned fro
 both_ as (select y, x, c from two union all select case when turned then x else y end, case when turned then y else x end, c from one2)
 select y, x, c::bigint as c from (select *, row_number() over (partition by y order by c desc, x) as r from both_) where r = 1""")
 def tokenmap_mine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    one, pool = views.parts(spark, d)
-    pairs = candidates.topk(one, pool, candidates.channels(0.5)["addr"])
-    pairs = pairs.join(one.select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("a")), "s1_id").join(pool.select(F.col("entity_id").alias("cand_id"), F.col("name_norm").alias("b")), "cand_id")
-    return tokenmap.mine(pairs.select("a", "b"), least=2, share=0.05, most=2, back=0.05)
+    key = F.col("s_suppkey")
+    named = lambda x, y, z: F.concat(F.when(key % 4 == 0, x).when(key % 4 == 1, y).otherwise(z), F.lit(" "), key.cast("string"))
+    rows = R.table(spark, d, "supplier").join(R.table(spark, d, "customer"), key == F.col("c_custkey"))
+    return tokenmap.mine(rows.select(named("supplier", "trading house", "vendor").alias("a"), named("suppl", "th", "vndr").alias("b")), least=2, share=0.05, most=2, back=0.05)
 
 
 @query(PAIRS.replace("{least}", "0.06") + """z as (select unnest(la) as x, unnest(lb) as y from (select list_filter(str_split(a, ' '), lambda t: t <> '') as la, list_filter(str_split(b, ' '), lambda t: t <> '') as lb from pairs) where len(la) = len(lb)),
@@ -275,7 +281,19 @@ def feat_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(c.alias(k) for k, c in own.items())))
 
 
-@query()
+def _token_set(a: str, b: str) -> str:
+    """SQL of the token-set ratio of two space-joined texts."""
+    t = lambda x: f"list_sort(list_distinct(list_filter(str_split({x}, ' '), lambda x: x <> '')))"
+    return f"select s1_id, cand_id, array_to_string(list_filter(x, lambda z: list_contains(y, z)), ' ') as o, array_to_string(list_filter(x, lambda z: not list_contains(y, z)), ' ') as l, array_to_string(list_filter(y, lambda z: not list_contains(x, z)), ' ') as r, len(x) as nx, len(y) as ny from (select s1_id, cand_id, {t(a)} as x, {t(b)} as y from j)"
+
+
+def _set_ratio(rel: str) -> str:
+    more = f"(select *, trim(o || ' ' || l) as p, trim(o || ' ' || r) as q from ({rel}))"
+    return f"""select s1_id, cand_id, round(case when nx = 0 or ny = 0 then 0.0::double when o <> '' and (l = '' or r = '') then 100.0::double
+ else greatest({sql.ratio('p', 'q')}, case when o <> '' then {sql.ratio('o', 'p')} else 0.0::double end, case when o <> '' then {sql.ratio('o', 'q')} else 0.0::double end) end, 6) as v from {more}"""
+
+
+@query(PPAIRS + f", n as ({_set_ratio(_token_set('nc1', 'nc2'))}), a as ({_set_ratio(_token_set('an1', 'an2'))}) select s1_id, cand_id, n.v as name_tsr, a.v as addr_tsr from n join a using (s1_id, cand_id)")
 def feat_token_set(spark: SparkSession, d: str) -> DataFrame:
     own = features.arrow_features()
     return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(own[k].alias(k) for k in ("name_tsr", "addr_tsr"))))
@@ -363,6 +381,21 @@ def stage2_profile(spark: SparkSession, d: str) -> DataFrame:
     return consistency.profile(consistency.prune(_p(spark, d), 0.2), pool, "name_core", "name")
 
 
+PROFILE = f"""scored as ({sql.topk('rec', sql.ADDR, 8, 0.5, name='p')}), tok as (select entity_id as cand_id, kind, unnest(list_distinct(list_filter(str_split(s, ' '), lambda x: x <> ''))) as t
+ from (select entity_id, unnest([{{'kind': 'addr', 's': addr_words}}, {{'kind': 'nums', 's': addr_nums}}], recursive := true) from rec where src <> 'S1')),
+a as (select s1_id, cand_id, kind, sum((p >= 0.9)::int) over (partition by s1_id, kind, t) - (p >= 0.9)::int as o from scored join tok using (cand_id)),
+g as (select s1_id, cand_id, kind, round(avg((o >= 1)::int), 6) as cov, count(*) as n from a group by 1, 2, 3)
+select s.s1_id, s.cand_id, coalesce(x.cov, 0.0)::double as prof_addr_cov, coalesce(x.n, 0)::bigint as prof_addr_n, coalesce(y.cov, 0.0)::double as prof_nums_cov, coalesce(y.n, 0)::bigint as prof_nums_n
+from scored s left join g x on x.s1_id = s.s1_id and x.cand_id = s.cand_id and x.kind = 'addr' left join g y on y.s1_id = s.s1_id and y.cand_id = s.cand_id and y.kind = 'nums'"""
+
+
+@query(PREC + PROFILE)
+def stage2_profile_address(spark: SparkSession, d: str) -> DataFrame:
+    one, pool = views.parts(spark, d)
+    p = candidates.topk(one, pool, candidates.channels(0.5)["addr"]).withColumnRenamed("cos_addr", "p")
+    return consistency.profile(p, pool, "addr_words", "addr").join(consistency.profile(p, pool, "addr_nums", "nums"), ["s1_id", "cand_id"])
+
+
 @query(PREC + f"""scored as ({sql.topk('rec', sql.ADDR, 8, 0.5, name='p')}), a as (select s1_id, cand_id, house_num, (p >= 0.9 and house_num <> '')::int as own, house_num <> '' as has from scored join rec on cand_id = entity_id),
 b as (select s1_id, cand_id, case when has then sum(own) over (partition by s1_id, house_num) - own else 0 end as same, sum(own) over (partition by s1_id) - own as every_ from a)
 select s1_id, cand_id, same::bigint as prof_house_support, round(same / greatest(1, every_), 6) as conf_house_agree from b""")
@@ -458,10 +491,10 @@ def validate_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with a as (select entity_id, md5('42:' || entity_id) as h, row_number() over (order by md5('42:' || entity_id)) as r, count(*) over () as n from (""" + sql.DOC + """) where entity_id like 'S1-%')
-select entity_id, case when r <= least(40, n // 4) then 'valid' when r <= least(40, n // 4) + 60 then 'train' end as part from a""")
+select entity_id, case when r <= least(100000, n // 4) then 'valid' when r <= least(100000, n // 4) + 700000 then 'train' end as part from a""")
 def split_train_val(spark: SparkSession, d: str) -> DataFrame:
     one, _ = R.sides(R.documents_as_records(spark, d))
-    return learn.split(one.select("entity_id"), 60, 40)
+    return learn.split(one.select("entity_id"), 700_000, 100_000)
 
 
 @query("select entity_id as s1_id, (substring(md5('43:' || entity_id), 32, 1) not in ('0','1','2','3','4','5','6','7'))::int as fold from (" + sql.DOC + ") where entity_id like 'S1-%'")
