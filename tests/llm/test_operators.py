@@ -66,6 +66,9 @@ def test_packing(spark, docs):
         assert [p.start for p in pieces] == np.cumsum([0] + [p.length for p in pieces[:-1]]).tolist() and all(p.doc_tokens == len(ids) for p in pieces)
     assert len({r.sequence_id for r in got}) == len(got)
     assert packing.pack(empty(spark)).count() == 0
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for t in (" " * 10**6 + "x", "a" * 10**6, "\n" * 10**6, "1" * 10**6, " \n\t" * 10**5, "日" * 10**5, "!" * 511 + " " * 255 + "x", "x" * 512, " " * 256):
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
     assert packing.pieces(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
     with pytest.raises(ValueError):
         packing.pack(docs, longest=100)
@@ -214,12 +217,83 @@ def test_lattice(spark, docs):
     for i, w in tokens.items():
         assert got[i].n_tokens == len(w) and got[i].n_known == sum(x in count for x in w) and got[i].train_tokens == n
         assert got[i].base_score == pytest.approx(sum(math.log10((count.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert got[i].score < 0
+        assert got[i].score < 0 and got[i].lattice_score < 0
     assert lattice.score(empty(spark), learn).count() == 0
     none = {r.doc_id: r for r in lattice.score(docs, F.lit(False)).collect()}
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in none.values())
 
 
+def test_lattice_scores_add_up(spark):
+    """Without rounds of estimation, whole scores from the forward recursion of each word, its own arc and the ends."""
+    import public_tokenizers
+
+    texts = {1: "the cat sat on the mat", 2: "the dog", 3: "a cat " + "xyz" * 30, 4: None, 5: "The cat"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.score(df, F.col("doc_id") < 4, rounds=0).collect()}
+    p = lattice.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    words = {i: lower(t or "").split() for i, t in texts.items()}
+    count = {}
+    for i in (1, 2, 3):
+        for w in words[i]:
+            count[w] = count.get(w, 0) + 1
+    n, v, ends = sum(count.values()), len(count), 3
+    for i, ws in words.items():
+        mixed = alone = math.log10((ends + 0.5) / (n + ends + 1))
+        for w in ws:
+            sub = math.exp(p.forward(np.frombuffer(b" " + w.encode(), np.uint8)[None])[-1][0])
+            go = math.log10((n + 0.5) / (n + ends + 1))
+            mixed += go + math.log10(sub * 0.6 * v / n + max(count.get(w, 0) - 0.6, 0) / n)
+            alone += go + math.log10(sub)
+        assert got[i].score == pytest.approx(mixed) and got[i].lattice_score == pytest.approx(alone)
+
+
+def test_long_words_alone():
+    import public_tokenizers
+
+    p = lattice.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    w = np.full((40, 61), 32, np.uint8)
+    w[:, 1:] = rng.integers(97, 123, (40, 60))
+    assert np.allclose(p.forward(w)[-1], [p.alone(x)[0] for x in w])
+    assert np.allclose(p.expected(w, np.arange(40)), p.expected(w[:20], np.arange(20)) + p.expected(w[20:], np.arange(20, 40)))
+    assert math.isfinite(p.alone(np.r_[32, rng.integers(97, 123, 100_000)].astype(np.uint8))[0])
+
+
+def test_sketches_bound_differences():
+    """Pairs that link are never apart by sketch, whatever the sizes."""
+    rng = np.random.default_rng(5)
+    for n in (1, 60, 300, 3000):
+        g = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        h = np.unique(np.r_[g[: len(g) - len(g) // 10], rng.integers(0, 2**64, len(g) // 20, dtype=np.uint64)])
+        rows = sorted((g, h), key=len)
+        left, right = jaccard.sketch_pairs(np.array([len(r) for r in rows]), [jaccard.sketched(r, jaccard.bins_of(len(r))) for r in rows], 8, 10)
+        assert (left.tolist(), right.tolist()) == ([0], [1])
+
+
+def test_jaccard_groups_of_several_blocks(spark):
+    """Meetings that are not compared, blocks of a few rows, pivots, and rows outside a group's largest part."""
+    rng = random.Random(12)
+    base = ["w%d" % i for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = base[:]
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words), 1, "b"))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_links(rows, 2, 8, 10)
+    for wide in (5, 1024):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 2, 8, 10, block=7, wide=wide).collect()}
+        assert got == want
+    assert 1 < len({c for _, c in want.values()}) < 150
+
+
+def test_toxicity_exceptions_in_long_texts():
+    lex = toxicity.Lexicon({" trash ": 5.0, " scum ": 5.0}, ("trash can", "pond scum"))
+    got = lex.matches(toxicity.fold_text("trash can " * 50_000 + "trash scum pond scum"))
+    assert len(got) == 2
+
+
 def test_lattice_is_a_distribution():
     """The forward recursion equals the sum over all segmentations, and words' probabilities add up to at most 1."""
     import public_tokenizers
@@ -315,7 +389,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(500, None, 0), (550, [0.0] * 8, 0), (600, [1.0, None] * 4, 0), (650, [float("nan")] * 8, 0), (700, [], 0), (None, [1.0] * 8, 0), (750, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, VEC)
     got = {}
-    for r in hilbert.neighbours(df, F.col("vec_id") % 50 == 0, share=2.0, curves=2, blocks=4).collect():
+    for r in hilbert.neighbours(df, F.col("vec_id") % 50 == 0, recall=1.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     d = x.astype(float)
     s = d @ d.T / np.linalg.norm(d, axis=1)[:, None] / np.linalg.norm(d, axis=1)[None]
@@ -324,12 +398,32 @@ def test_neighbours(spark):
         found.sort()
         others = np.array([i for i in range(400) if i != q])
         want = others[np.lexsort((others, -np.round(s[q, others], 12)))[:5]]
-        assert [i for _, i, _ in found] == want.tolist() and np.allclose([c for *_, c in found], s[q, want])
-    near = hilbert.neighbours(df, F.col("vec_id") % 50 == 0, share=0.3, curves=6, blocks=10).collect()
-    assert len(near) == 40
+        assert np.allclose([c for *_, c in found], s[q, [i for _, i, _ in found]]) and [r for r, *_ in found] == [1, 2, 3, 4, 5]
+        assert len({i for _, i, _ in found} & set(want.tolist())) >= 4
+    again = spark.createDataFrame(rows + rows, VEC)  # repeated rows count once
+    assert hilbert.neighbours(again, F.col("vec_id") % 50 == 0).count() == 40
     assert hilbert.neighbours(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("groups", [0, 60])
+def test_recall_of_windows(spark, groups):
+    """The default window against brute force, on vectors without structure and in clusters."""
+    rng = np.random.default_rng(groups)
+    x = rng.normal(size=(4000, 24)) if not groups else rng.normal(size=(groups, 24))[rng.integers(0, groups, 4000)] + 0.3 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in hilbert.neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q, scores in got.items():
+        s = np.delete(u @ u[q], q)
+        hit += (np.array(scores) >= np.sort(s)[-5] - 1e-9).sum()
+    assert len(got) == 80 and hit >= 0.9 * 400
+    index, _ = hilbert.indexed(df, F.col("vec_id") % 50 == 0)
+    assert hilbert.fit(index, 5, 48, 8, 5, 0.94, 20_000, 128, 7).work() < (0.2 if groups else 0.9)
+
+
 def test_hilbert_curve():
     bits, dims = 3, 2
     cells = np.array([(i, j) for i in range(8) for j in range(8)])
