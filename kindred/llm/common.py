@@ -64,11 +64,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of about ``BATCH`` bytes; the session keeps that bound, unless it has one of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def mapped(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches bounded in bytes; the session keeps that bound, unless it has one of its own."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    """``mapInArrow`` over batches bounded in bytes."""
+    bounded(df.sparkSession)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(batches)

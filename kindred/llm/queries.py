@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,23 +113,33 @@ def _warc_sql() -> str:
         h = f"sha1({x})"
         return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
 
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     crlf = "chr(13) || chr(10)"
+    refs = ", ".join(f"({quoted(name)}, {quoted(sign)})" for name, sign in html5.items())
+    named = "|".join(sorted(html5, key=lambda name: (-len(name), name)))  # the longest name that fits
     text = r"""regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->', ' ', 'g')"""
     text = rf"""regexp_replace({text}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre)\b[^>]*>', chr(10), 'g')"""
     text = f"""regexp_replace({text}, '<[^>]*>', ' ', 'g')"""
-    for name, sign in warc.ENTITIES:
-        text = f"""replace({text}, '{name.replace("'", "''")}', '{sign.replace("'", "''")}')"""
-    text = rf"""regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"""
-    text = rf"""regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
-    fields = rf"""'source-status: 200' || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-content-length: ' || strlen(html) || {crlf} || 'title: '
- || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g') || {crlf}
- || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1), lambda x: 'outlink: ' || x || {crlf}), '')"""
-    return f"""
+    folded = r"""regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f\x{a0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
+    return rf"""
 with p as (select page_id, coalesce(url, '') url, coalesce(html, '') html from pages),
 h as (select *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) || {crlf} || {crlf} source_headers, 'sha1:' || sha1(html) source_payload_digest,
  {urn("concat_ws(chr(10), 'response', page_id::varchar, url)")} refers_to from p),
-c as (select *, 'sha1:' || sha1(source_headers || html) source_block_digest from h),
-k as (select *, 'metadata' record_type, 'application/warc-fields' content_type, {fields} content from c union all select *, 'conversion', 'text/plain; charset=utf-8', {text} from c)
+c as (select *, 'sha1:' || sha1(source_headers || html) source_block_digest, row_number() over () as r from h),
+refs(name, sign) as (values {refs}),
+raw as (select r, 'text' part, 0 n, {text} t from c union all select r, 'title', 0, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) from c
+ union all select r, 'link', n, regexp_replace(x, '^["'']|["'']$', '', 'g') from (select r, unnest(l) x, generate_subscripts(l, 1) n from (select r, regexp_extract_all(html, {quoted(warc.LINK)}, 1) l from c))),
+pieces as (select r, part, n, i, x, case when i > 1 then regexp_extract(x, '^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|{named})') else '' end ref
+ from (select r, part, n, unnest(string_split(t, '&')) x, generate_subscripts(string_split(t, '&'), 1) i from raw)),
+codes as (select *, case when ref[:1] <> '#' then null when lower(ref[2:2]) = 'x' then ('0x' || rtrim(ref[3:], ';'))::bigint else rtrim(ref[2:], ';')::bigint end code from pieces),
+whole as (select r, part, n, string_agg(case when i = 1 then x when ref = '' then '&' || x
+   else coalesce(case when code = 0 or code > 1114111 or code between 55296 and 57343 then chr(65533) when code is not null then chr(code::int) end, sign) || x[length(ref) + 1:] end, '' order by i) t
+ from codes left join refs on name = ref group by r, part, n),
+content as (select r, max({folded}) filter (part = 'text') body, max(trim(regexp_replace(t, '[ \t\r\n\f\x{{a0}}]+', ' ', 'g'))) filter (part = 'title') title,
+ coalesce(string_agg('outlink: ' || regexp_replace(t, '[\t\r\n]', '', 'g') || {crlf}, '' order by n) filter (part = 'link'), '') links from whole group by r),
+k as (select *, 'metadata' record_type, 'application/warc-fields' content_type, 'source-status: 200' || {crlf} || 'source-payload-digest: ' || source_payload_digest || {crlf} || 'source-content-length: ' || strlen(html) || {crlf}
+  || 'title: ' || title || {crlf} || links content from c join content using (r)
+ union all select *, 'conversion', 'text/plain; charset=utf-8', body from c join content using (r))
 select page_id, record_type, {urn("concat_ws(chr(10), record_type, refers_to)")} record_id, refers_to, url refers_to_target_uri, '2026-01-01T00:00:00Z' refers_to_date, content_type, source_headers, source_payload_digest, source_block_digest,
  'sha1:' || sha1(content) block_digest, strlen(content)::bigint content_length, content from k"""
 

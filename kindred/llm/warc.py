@@ -1,26 +1,31 @@
 """WARC derivatives: each response yields a metadata record and a plain-text conversion record.
 
-Records are rows; every step is a column expression, so builder and writer run in one pass without a
-shuffle.  Both derived records refer to the response's WARC-Record-ID, target URI and date, keep its
+Records are rows; builder and writer run in one pass without a shuffle.  Steps are column expressions,
+but for character references, which one Arrow function resolves by the HTML standard's table (named,
+decimal, hexadecimal; each once).  Both derived records refer to the response's WARC-Record-ID, target URI and date, keep its
 HTTP headers and digests, and get identifiers (UUIDs of version 5's form, from a digest of the
 response's identifier and the record's type), so a rerun makes the same records.
 
 A null html or payload is an empty body; a null URI gives an empty one.  Responses without an
-identifier are left out.  Repeated rows give repeated records.  Other columns are ignored.
+identifier are left out.  Repeated rows give repeated records.  Other columns are ignored.  A very long page
+takes memory in proportion to its length, in batches of its own.
 """
 
 from __future__ import annotations
 
 import gzip
+import html
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Named character references that prose uses, in the order they are resolved; the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+from kindred.llm.common import bounded
+
 CRLF = "\r\n"
+LINK = r"""(?i)<a[ \t\r\n\f](?:[^>]*?[ \t\r\n\f])?href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
 
 
 def urn(*parts: Column) -> Column:
@@ -33,23 +38,33 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(text.cast("binary")))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles, comments or tags; blocks end lines; entities resolved; white space folded."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->", " ")
+def resolve(text: str) -> str:
+    """``text`` with its character references resolved as the HTML standard says; numbers beyond Unicode are U+FFFD."""
+    if "&" not in text:
+        return text
+    text = re.sub(r"(&#[xX]?)0+(?=[0-9a-fA-F])", r"\1", text)
+    return html.unescape(re.sub(r"&#[0-9]{8,};?", "\ufffd", text))  # longer numbers than int() takes
+
+
+def resolved(text: Column) -> Column:
+    return F.arrow_udf(lambda a: pa.array([None if t is None else resolve(t) for t in a.to_pylist()], pa.string()), "string")(text)
+
+
+def plain_text(page: Column) -> Column:
+    """Text of a page: no scripts, styles, comments or tags; blocks end lines; references resolved; white space folded."""
+    t = F.regexp_replace(page, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for name, sign in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(sign))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
+    t = F.regexp_replace(resolved(t), r"[ \t\r\f\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def responses(pages: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """Pages (page_id, url, html) as response records; a crawl that kept its HTTP headers has them instead."""
-    html = F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF + CRLF))
+    page = F.coalesce("html", F.lit(""))
+    head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(page).cast("string"), F.lit(CRLF + CRLF))
     return pages.where("page_id is not null").select(
-        "page_id", urn(F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("record_id"), F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), html.alias("payload")
+        "page_id", urn(F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("record_id"), F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), page.alias("payload")
     )
 
 
@@ -59,11 +74,15 @@ def derive(resp: DataFrame, *keep: str) -> DataFrame:
     record_type, record_id, refers_to, refers_to_target_uri, refers_to_date, content_type, source_headers,
     source_payload_digest, source_block_digest, block_digest, content_length, content.
     """
+    bounded(resp.sparkSession)
     resp = resp.where("record_id is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("target_uri", "date", "http_headers", "payload")})
     resp = resp.withColumns({"source_payload_digest": digest(F.col("payload")), "source_block_digest": digest(F.concat("http_headers", "payload")), "body": plain_text(F.col("payload"))})
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")
+    title = F.trim(F.regexp_replace(resolved(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"[ \t\r\n\f\u00a0]+", " "))
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    links = F.array_join(F.transform(F.regexp_extract_all("payload", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), "")
+    # no page text holds NUL, so that it parts the values while their references are resolved
+    hrefs = F.transform(F.regexp_extract_all("payload", F.lit(LINK), 1), lambda x: F.regexp_replace(F.replace(x, F.lit("\0"), F.lit("")), "^[\"']|[\"']$", ""))
+    links = F.transform(F.split(resolved(F.array_join(hrefs, "\0")), "\0"), lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\t\r\n]", ""), F.lit(CRLF)))
+    links = F.when(F.size(hrefs) > 0, F.array_join(links, "")).otherwise("")
     fields = F.concat(
         F.lit("source-status: "), status, F.lit(f"{CRLF}source-payload-digest: "), F.col("source_payload_digest"), F.lit(f"{CRLF}source-content-length: "), F.octet_length("payload").cast("string"), F.lit(f"{CRLF}title: "), title, F.lit(CRLF), links
     )

@@ -460,6 +460,39 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_warc_references(spark):
+    """Every reference of the HTML standard, and odd ones, against the standard library's parser of whole pages."""
+    from html.entities import html5
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.text, self.links = "", []
+
+        def handle_data(self, data):
+            self.text += data
+
+        def handle_starttag(self, tag, attrs):
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    body = " ".join(f"a&{n} b" for n in sorted(html5)) + " &#65;&#x1F600;&#0;&#xD800;&#00000000066; &unknown; &amp;copy; & &# 5&6 &notit"
+    links = """<a href="/x?a=1&amp;b=2">p</a><a class=k href='/y"z'>q</a><A HREF=/bare>r</A><a data-href="/no">s</a>"""
+    pages = spark.createDataFrame([(1, "u", f"<body>{body} {links}</body>", "c"), (2, "u", f"<p>&#{'9' * 6000};&#x{'f' * 6000};{'&copy;' * 300_000}</p>", "c"), (2, "u", "<p>&reg;", "c"), (2, "u", "<p>&reg;", "c")], PAGE)
+    got = {}
+    for r in warc.derive(warc.responses(pages), "page_id").collect():
+        got.setdefault((r.page_id, r.record_type), []).append(r.content)
+    parser = Text()
+    parser.feed(f"{body} {links}")
+    parser.close()
+    flat = lambda t: re.sub(r"[ \t\r\n\f\u00a0]+", " ", t).strip()
+    want = flat(parser.text)
+    assert flat(got[1, "conversion"][0]).replace(" ", "") == want.replace(" ", "")
+    assert "&copy;" in want and "A😀��B &unknown; &copy; & &# 5&6 ¬it" in got[1, "conversion"][0]
+    assert re.findall(r"outlink: (.*)\r\n", got[1, "metadata"][0]) == [x for x in parser.links] == ["/x?a=1&b=2", '/y"z', "/bare"]
+    assert sorted(got[2, "conversion"]) == ["®", "®", "��" + "©" * 300_000]
+
+
 def test_chunks_and_words():
     import pyarrow as pa
 
