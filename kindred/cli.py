@@ -7,6 +7,8 @@ complete; tables are Parquet on any file system that Spark knows.
 from __future__ import annotations
 
 import argparse
+import importlib
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,10 +81,31 @@ def block_eval(w: Work, a: argparse.Namespace) -> None:
     candidates.recall(candidates.block(one, pool), pairs, one.select(F.col("entity_id").alias("s1_id"))).show(truncate=False)
 
 
-def merge_emb(w: Work, a: argparse.Namespace) -> None:
-    """Adds the pairs of a table of vectors (entity_id, country, embedding) in <split>_vectors."""
+def embed_encode(w: Work, a: argparse.Namespace) -> None:
+    """Vectors of all reference records, and of the pool's domains, names in other scripts and empty addresses.
+
+    ``--encoder module:function`` names a function that maps a list of texts to rows of ``--dims`` floats.
+    """
+    module, _, name = (a.encoder or "").partition(":")
+    if not name:
+        raise SystemExit("embed-encode needs --encoder module:function")
+    encoder = getattr(importlib.import_module(module), name)
+    one, pool = w.sides(a.split)
+    rows = one.select(*R.COLUMNS).unionByName(pool.where("is_domain = 1 or name_nonlatin = 1 or addr_empty = 1").select(*R.COLUMNS))
+    if a.n:
+        rows = learn.sample(rows, a.n)
+    w.write(f"{a.split}_vectors", rows.select("entity_id", "country").join(dense.encode(rows, encoder, a.dims), "entity_id"))
+
+
+def embed_block(w: Work, a: argparse.Namespace) -> None:
+    """The dense pairs of a table of vectors (entity_id, country, embedding) in <split>_vectors."""
     one, pool = R.sides(w.read(f"{a.split}_vectors"))
-    w.write(f"{a.split}_cands_merged", dense.merge(w.read(f"{a.split}_cands"), dense.cells(one, pool)))
+    w.write(f"{a.split}_cands_emb", dense.cells(one, pool))
+
+
+def merge_emb(w: Work, a: argparse.Namespace) -> None:
+    embed_block(w, a)
+    w.write(f"{a.split}_cands_merged", dense.merge(w.read(f"{a.split}_cands"), w.read(f"{a.split}_cands_emb")))
 
 
 def featurize(w: Work, a: argparse.Namespace) -> None:
@@ -91,11 +114,22 @@ def featurize(w: Work, a: argparse.Namespace) -> None:
     w.write(f"{a.split}_feats", features.build(cands, one, pool, w.truth()[0] if a.split == "train" else None))
 
 
+def _parts(w: Work, a: argparse.Namespace) -> DataFrame:
+    """s1_id, part (train, valid or null) of all entities with features."""
+    ids = w.read("train_feats").select(F.col("s1_id").alias("entity_id")).distinct()
+    return learn.split(ids, a.n_train, a.n_val).withColumnRenamed("entity_id", "s1_id")
+
+
+def _report(model: learn.PipelineModel, features: list[str]) -> None:
+    print("top features:", [(k, round(v, 4)) for k, v in learn.importances(model, features)])
+
+
 def train(w: Work, a: argparse.Namespace) -> None:
-    rows = w.read("train_feats")
-    parts = learn.split(rows.select(F.col("s1_id").alias("entity_id")).distinct(), a.n_train, a.n_val).withColumnRenamed("entity_id", "s1_id").where("part is not null")
-    rows = rows.join(parts, "s1_id").withColumn("_valid", F.col("part") == "valid")
-    model = learn.fit(rows, names(w.read("train_feats")), rounds=a.rounds, depth=8, valid="_valid")
+    parts = _parts(w, a).where("part is not null")
+    rows = w.read("train_feats").join(parts, "s1_id").withColumn("_valid", F.col("part") == "valid")
+    features = names(w.read("train_feats"))
+    model = learn.fit(rows, features, rounds=a.rounds, depth=8, valid="_valid", leaf=a.leaf)
+    _report(model, features)
     model.write().overwrite().save(f"{w.folder}/model")
     held = learn.predict(model, rows.where("_valid"), "prob").select("s1_id", "cand_id", "prob")
     _tune(w, "rule", held, parts.where("part = 'valid'").select("s1_id"))
@@ -120,14 +154,26 @@ def _second(w: Work, split: str, p: DataFrame) -> DataFrame:
 
 
 def train2(w: Work, a: argparse.Namespace) -> None:
-    rows = w.read("train_feats")
-    p = w.write("train_oof", learn.out_of_fold(rows, names(rows), rounds=a.rounds, depth=8).select("s1_id", "cand_id", "p"))
-    table = w.write("train_feats2", _second(w, "train", p))
-    own = learn.fold()
-    model = learn.fit(table.where(own == 0).withColumn("_valid", F.substring(learn.digest("s1_id", 44), 32, 1).isin("0", "1")), names(table), rounds=a.rounds, depth=8, valid="_valid")
+    """The second model learns from the first fold's entities, stops and is tuned on the held-out ones.
+
+    Probabilities of training entities come from the other fold's model, all others from the first pass's.
+    ``--parts`` keeps that many sixteenths of the entities, for a quick run.
+    """
+    rows, parts = w.read("train_feats"), _parts(w, a)
+    if a.parts:
+        rows = rows.where(F.conv(F.substring(learn.digest("s1_id", 45), 32, 1), 16, 10).cast("int") < a.parts)
+    full = learn.PipelineModel.load(f"{w.folder}/model")
+    p = learn.cross_fit(rows, names(rows), parts.where("part = 'train'"), full, rounds=a.rounds, depth=8, leaf=a.leaf)
+    p = w.write("train_oof", p.select("s1_id", "cand_id", "p", "fold"))
+    table = w.write("train_feats2", _second(w, "train", p.drop("fold")))
+    valid = parts.where("part = 'valid'").select("s1_id")
+    known = p.groupBy("s1_id").agg(F.max("fold").alias("_own")).join(valid.withColumn("_valid", F.lit(True)), "s1_id", "left").fillna(False, ["_valid"])
+    used = table.join(known.where("_own = 0 or _valid"), "s1_id")
+    model = learn.fit(used, names(table), rounds=a.rounds, depth=8, valid="_valid", leaf=a.leaf)
+    _report(model, names(table))
     model.write().overwrite().save(f"{w.folder}/model2")
-    held = learn.predict(model, table.where(own == 1).drop("p_"), "prob").select("s1_id", "cand_id", "prob")
-    _tune(w, "rule2", held, table.where(own == 1).select("s1_id").distinct())
+    held = learn.predict(model, used.where("_valid").drop("p_"), "prob").select("s1_id", "cand_id", "prob")
+    _tune(w, "rule2", held, valid.join(rows.select("s1_id").distinct(), "s1_id", "left_semi"))
 
 
 def _outputs(w: Work, a: argparse.Namespace, pairs: DataFrame, rule: dict, cands: DataFrame) -> None:
@@ -157,10 +203,42 @@ def evaluate(w: Work, a: argparse.Namespace) -> None:
     metrics.report(decide.apply(w.read("rule_pairs"), _rule(w, "rule")), pairs, w.read("rule_pairs").select("s1_id").distinct()).show()
 
 
-STAGES = {f.__name__.replace("_", "-"): f for f in (prepare, equiv, block, block_eval, merge_emb, featurize, train, train2, predict, predict2, evaluate)}
-
-
-def main(argv: list[str] | None = None) -> None:
+def validate(w: Work, a: argparse.Namespace) -> int:
+    """Findings of ``--matching`` and ``--candidate`` against the split's records under ``--data``; 1 if any is an error."""
+    spark, errors = w.spark, []
+    required = R.read_ids(spark, f"{w.data}/{a.split}_source1.tsv").withColumnRenamed("id", "s1_id")
+    known = None
+    if a.check_ids:
+        known = R.read_ids(spark, f"{w.data}/{a.split}_source2.tsv").unionByName(R.read_ids(spark, f"{w.data}/{a.split}_source3.tsv"))
+    files = [(a.matching or f"{w.folder}/matching_results", "matched_entity_ids"), (a.candidate or f"{w.folder}/candidate_pairs", "candidate_entity_ids")]
+    read = {}
+    for path, second in files:
+        wrong = check.header(spark, path, second)
+        if second == "candidate_entity_ids" and wrong and wrong[0].startswith("missing file"):
+            print(f"warning: {path}: {wrong[0]}")
+            continue
+        errors += [f"{path}: {x}" for x in wrong]
+        if not wrong:
+            read[second] = (path, check.rows(spark, path))
+    for second, (path, rows) in read.items():
+        listed = read.get("candidate_entity_ids", (None, None))[1] if second == "matched_entity_ids" else None
+        for r in check.findings(rows, required, known, listed).collect():  # a row for each rule
+            line = f"{path}: {r.rule}: {r.n}, such as {r.examples}"
+            if r.level == "error":
+                errors.append(line)
+            else:
+                print("warning:", line)
+    for line in errors:
+        print("error:", line)
+    print("FAIL" if errors else "PASS")
+    return int(bool(errors))
+
+
+STAGES = {f.__name__.replace("_", "-"): f for f in (prepare, equiv, block, block_eval, embed_encode, embed_block, merge_emb, featurize, train, train2, predict, predict2, evaluate, validate)}
+
+
+def main(argv: list[str] | None = None) -> int:
+    """The exit code: 1 if ``validate`` finds errors."""
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stage", choices=STAGES)
     p.add_argument("--work", required=True)
@@ -171,9 +249,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--n-train", type=int, default=700_000)
     p.add_argument("--n-val", type=int, default=100_000)
     p.add_argument("--rounds", type=int, default=100)
+    p.add_argument("--parts", type=int, default=0)
+    p.add_argument("--leaf", type=int, default=100)
+    p.add_argument("--encoder")
+    p.add_argument("--dims", type=int, default=384)
+    p.add_argument("--matching")
+    p.add_argument("--candidate")
+    p.add_argument("--check-ids", action="store_true")
     a = p.parse_args(argv)
-    STAGES[a.stage](Work(SparkSession.builder.appName(f"kindred {a.stage}").getOrCreate(), a.work, a.data), a)
+    return STAGES[a.stage](Work(SparkSession.builder.appName(f"kindred {a.stage}").getOrCreate(), a.work, a.data), a) or 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

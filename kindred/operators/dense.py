@@ -54,16 +54,27 @@ def _within(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(nearest, "s1_id string, cand_id string, cos_emb double").dropDuplicates(["s1_id", "cand_id"])
 
 
-def cells(queries: DataFrame, pool: DataFrame, count: int = 64, probes: int = 12, sample: int = 20_000, seed: int = 42) -> DataFrame:
-    """As ``exact``, over the cells nearest to each query; centres are fitted on about ``sample`` pool vectors."""
+def cell_count(n: int) -> int:
+    """Cells for a pool of n vectors: one for each 40, 64 to 2048."""
+    return min(2048, max(64, n // 40))
+
+
+def cells(queries: DataFrame, pool: DataFrame, count: int | None = None, probes: int | None = None, sample: int = 32, seed: int = 42) -> DataFrame:
+    """As ``exact``, over the ``probes`` cells nearest to each query (12, and 64 at most, as the cells grow in number).
+
+    Centres are fitted on about ``sample`` pool vectors for each cell, 65,536 at most.
+    """
     n = pool.count()
+    count = count or cell_count(n)
+    probes = probes or min(64, max(12, count // 32))
+    sample *= count
     part = pool.where(F.pmod(F.xxhash64(F.lit(seed), "entity_id"), F.lit(1 << 20)) < F.lit(min(1.0, sample / max(1, n)) * (1 << 20))).select("embedding").toPandas()
     if part.empty:
         return exact(queries, pool)
     x = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
     centres = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
     for _ in range(10):  # Lloyd's iterations on the unit sphere
-        near = (x @ centres.T).argmax(1)
+        near = np.concatenate([(part @ centres.T).argmax(1) for part in np.array_split(x, 1 + len(x) // 4096)])
         for c in range(len(centres)):
             if (near == c).any():
                 m = x[near == c].mean(0)
@@ -71,10 +82,11 @@ def cells(queries: DataFrame, pool: DataFrame, count: int = 64, probes: int = 12
 
     def assign(batches: Iterator[pd.DataFrame], many: int) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                s = np.stack([np.asarray(v, np.float64) for v in b["embedding"]]) @ centres.T
+            for at in range(0, len(b), 1024):
+                some = b.iloc[at : at + 1024]
+                s = np.stack([np.asarray(v, np.float64) for v in some["embedding"]]) @ centres.T
                 near = np.argsort(-s, axis=1, kind="stable")[:, :many]
-                out = b.loc[b.index.repeat(near.shape[1])].copy()
+                out = some.loc[some.index.repeat(near.shape[1])].copy()
                 out["cell"] = near.ravel().astype("int32")
                 yield out
 

@@ -38,9 +38,9 @@ def fold(column: str = "s1_id", seed: int = 43):
     return F.when(F.substring(digest(column, seed), 32, 1).isin(*"01234567"), 0).otherwise(1)
 
 
-def fit(rows: DataFrame, features: list[str], rounds: int = 60, depth: int = 5, valid: str | None = None, seed: int = 42) -> PipelineModel:
-    """Boosted trees on ``label``; ``valid`` names a boolean column of rows that stop the rounds."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="_x", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed)
+def fit(rows: DataFrame, features: list[str], rounds: int = 60, depth: int = 5, valid: str | None = None, seed: int = 42, leaf: int = 100) -> PipelineModel:
+    """Boosted trees on ``label``; ``valid`` names a boolean column of rows that stop the rounds; ``leaf`` is the least number of rows in a leaf."""
+    gbt = GBTClassifier(labelCol="label", featuresCol="_x", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=leaf, seed=seed)
     if valid:
         gbt = gbt.setValidationIndicatorCol(valid)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), gbt]).fit(rows)
@@ -58,6 +58,16 @@ def out_of_fold(rows: DataFrame, features: list[str], key: str = "s1_id", **kw)
     return parts[0].unionByName(parts[1]).withColumnRenamed("_fold", "fold")
 
 
+def cross_fit(rows: DataFrame, features: list[str], train_ids: DataFrame, full: PipelineModel, key: str = "s1_id", **kw) -> DataFrame:
+    """rows with ``fold`` and ``p``: ids of ``train_ids`` get the probability of the other fold's model, all other ids (fold null) that of ``full``."""
+    known = train_ids.select(key, F.lit(True).alias("_known")).distinct()
+    rows = rows.join(known, key, "left").withColumn("_fold", F.when(F.col("_known"), fold(key))).drop("_known")
+    inside = rows.where(F.col("_fold").isNotNull())
+    scored = [predict(fit(inside.where(F.col("_fold") != f), features, **kw), inside.where(F.col("_fold") == f)) for f in (0, 1)]
+    rest = predict(full, rows.where(F.col("_fold").isNull()))
+    return scored[0].unionByName(scored[1]).unionByName(rest).withColumnRenamed("_fold", "fold")
+
+
 def importances(model: PipelineModel, features: list[str], top: int = 15) -> list[tuple[str, float]]:
     got = zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True)
     return sorted(got, key=lambda x: -x[1])[:top]

@@ -517,13 +517,13 @@ def _ml_rows(spark: SparkSession, d: str) -> DataFrame:
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _ml_rows(spark, d)
     own = learn.fold("doc_id")
-    model = learn.fit(rows.withColumn("_valid", F.substring(learn.digest("doc_id", 44), 32, 1).isin("0", "1", "2")).where(own == 0), ML, rounds=20, valid="_valid")
+    model = learn.fit(rows.withColumn("_valid", F.substring(learn.digest("doc_id", 44), 32, 1).isin("0", "1", "2")).where(own == 0), ML, rounds=20, valid="_valid", leaf=20)
     return rounded(learn.predict(model, rows).select("doc_id", "label", "p"))
 
 
 @query()
 def gbt_oof_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(learn.out_of_fold(_ml_rows(spark, d), ML, "doc_id", rounds=20).select("doc_id", "label", "fold", "p"))
+    return rounded(learn.out_of_fold(_ml_rows(spark, d), ML, "doc_id", rounds=20, leaf=20).select("doc_id", "label", "fold", "p"))
 
 
 @query(sql.SCORED + """one as (select * from (select *, row_number() over (partition by cand_id order by prob desc, s1_id) as r from scored) where r = 1),
