@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,15 @@ def released() -> None:
         trim(0)
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed; empty stays empty."""
+    return zstandard.compress(raw, 1) if raw else b""
+
+
+def opened(raw: bytes) -> bytes:
+    return zstandard.decompress(raw) if raw else b""
+
+
 def buckets_of(spark: SparkSession) -> int:
     """How many keys the packed shuffles use: some for each shuffle partition, so that they grow with it."""
     return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))

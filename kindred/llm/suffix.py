@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import _TABLE, U64, buckets_of, chunks, keyed, mapped, mix, packed
+from kindred.llm.common import _TABLE, U64, buckets_of, chunks, keyed, mapped, mix, opened, packed, squeezed
 
 GRAM = 32
 PERIOD = 32
@@ -135,7 +135,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if held:
                 doc, s, many, key = (np.concatenate(c) for c in zip(*held, strict=True))
-                got = list(packed(key % U64(count), [key, doc, s.astype(np.int32), many.astype(np.uint8)]))
+                got = [(k, [x[0], *map(squeezed, x[1:])]) for k, x in packed(key % U64(count), [key, doc, s.astype(np.int32), many.astype(np.uint8)])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcd")})
                 held.clear()
 
@@ -150,7 +150,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def repeated(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """The spans whose selected string has another occurrence."""
-        key, doc, s, many = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in zip("abcd", (U64, np.int64, np.int32, np.uint8), strict=True))
+        key, doc, s, many = (np.frombuffer(b"".join(r[c] if c == "a" else opened(r[c]) for r in rows), t) for c, t in zip("abcd", (U64, np.int64, np.int32, np.uint8), strict=True))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         keep = order[np.r_[same, False] | np.r_[False, same]]
@@ -189,7 +189,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
         order, fresh = _sorted(key, lo, many, text, ids, s)
         later = order[~fresh]
         keep = order[fresh]
-        got = list(packed(mix(key[keep].view(U64)) % U64(count), [x[keep] for x in (key, ids, s, lo, many, text)]))
+        got = [(k, [*x[:5], squeezed(x[5])]) for k, x in packed(mix(key[keep].view(U64)) % U64(count), [x[keep] for x in (key, ids, s, lo, many, text)])]
         got += [(k, [*x, b"", b"", b""]) for k, x in packed(mix(ids[later].view(U64)) % U64(count), [ids[later], s[later], many[later]])]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in got], pa.int32())} | {c: pa.array([x[i] for _, x in got], pa.binary()) for i, c in enumerate("abcdef")})
 
@@ -201,7 +201,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
         if not rows:
             return
         key, doc, s, lo, many = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in zip("abcde", (np.int64, np.int64, np.int32, np.uint8, np.uint8), strict=True))
-        text = np.frombuffer(b"".join(r["f"] for r in rows), np.uint8).reshape(len(key), left + length)
+        text = np.frombuffer(b"".join(opened(r["f"]) for r in rows), np.uint8).reshape(len(key), left + length)
         cut = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.r_[True, key[cut][1:] != key[cut][:-1], True])
         i = 0
