@@ -133,6 +133,16 @@ def sketched(g: np.ndarray, bins: int) -> np.ndarray:
     return np.bincount((g >> U64(65 - bins.bit_length())).astype(np.int64), minlength=bins)
 
 
+def as_bytes(counts: list[np.ndarray]) -> tuple[list[bytes], int]:
+    """Sketches of a set as bytes, a byte a bin if all its numbers fit, else four; and 1 for the latter."""
+    wide = any(c.max(initial=0) > 255 for c in counts)
+    return [c.astype(np.uint32 if wide else np.uint8).tobytes() for c in counts], int(wide)
+
+
+def from_bytes(raw: bytes, bins: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == bins else np.uint32)
+
+
 def sketch_pairs(size: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows, sorted by size, whose sizes and sketches allow a link; a finer sketch is added up to a coarser one's bins."""
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
@@ -184,13 +194,14 @@ def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFra
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for part, data, offs in chunks(batch):
                 for doc, (g, w) in zip(ids[part], shingle_sets(data, offs, n, usual.value), strict=True):
-                    bins.append(sketched(g, BINS).astype(np.uint32).tobytes())
-                    fine.append(sketched(g, bins_of(len(g))).astype(np.uint32).tobytes() if bins_of(len(g)) > BINS else b"")
+                    (s, f), wide = as_bytes([sketched(g, BINS), sketched(g, bins_of(len(g))) if bins_of(len(g)) > BINS else np.zeros(0, int)])
+                    bins.append(s)
+                    fine.append(f)
                     if not len(g):
                         rows.append((doc, 0, 0))
                         continue
                     node = _set_id(g)
-                    rows.append((doc, node, len(g)))
+                    rows.append((doc, node, 2 * len(g) + wide))  # the last bit: bytes a bin
                     if node in seen:
                         continue
                     seen.add(node)
@@ -204,15 +215,15 @@ def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFra
                     yield from out()
         yield from out()
 
+    def cut(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+        return [raw[end - m : end] for m, end in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
+
     def meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         plain = [r for r in rows if r["kind"] == 0]
         a, b, size = (np.frombuffer(b"".join(r[c] for r in plain), np.int64) for c in "xyz")
-        sketch = [r["s"][i : i + 4 * BINS] for r in plain for i in range(0, len(r["s"]), 4 * BINS)]
-        fine, at, every = [], 0, b"".join(r["f"] for r in plain)
-        for m in size.tolist():
-            wide = 4 * bins_of(m) if bins_of(m) > BINS else 0
-            fine.append(every[at : at + wide])
-            at += wide
+        size, each = size >> 1, np.where(size & 1, 4, 1)  # bytes a bin
+        coarse = cut(b"".join(r["s"] for r in plain), each * BINS)
+        fine = cut(b"".join(r["f"] for r in plain), each * np.array([m if m > BINS else 0 for m in map(bins_of, size.tolist())], np.int64))
         kind = np.zeros(len(a), np.int32)
         sig, node = np.frombuffer(b"".join(r["x"] for r in rows if r["kind"]), U64), np.frombuffer(b"".join(r["y"] for r in rows if r["kind"]), np.int64)
         order = np.lexsort((node, sig))
@@ -234,8 +245,8 @@ def _candidates(docs: DataFrame, n: int, levels: Levels, common: int) -> DataFra
             who = np.repeat(keep, size1)
             a, b = np.r_[a, np.repeat(name, size1)[who]], np.r_[b, node[who]]
             more = len(a) - len(kind)
-            kind, size, sketch, fine = np.r_[kind, np.ones(more, np.int32)], np.r_[size, np.zeros(more, np.int64)], sketch + [None] * more, fine + [None] * more
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "n": pa.array(size), "s": pa.array(sketch, pa.binary()), "f": pa.array(fine, pa.binary())})
+            kind, size, coarse, fine = np.r_[kind, np.ones(more, np.int32)], np.r_[size, np.zeros(more, np.int64)], coarse + [None] * more, fine + [None] * more
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind), "a": pa.array(a), "b": pa.array(b), "n": pa.array(size), "s": pa.array(coarse, pa.binary()), "f": pa.array(fine, pa.binary())})
 
     return keyed(mapped(docs, emit, "kind int, bucket int, x binary, y binary, z binary, s binary, f binary"), meet, "kind int, a long, b long, n long, s binary, f binary")
 
@@ -283,7 +294,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     def near(held: list[dict]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda r: (r["n"], r["node"]))
         ids, size = np.array([r["node"] for r in held], np.int64), np.array([r["n"] for r in held], np.int64)
-        yield _linked(ids, *sketch_pairs(size, [np.frombuffer(r.get("f") or r["s"], np.uint32) for r in held], num, den))
+        yield _linked(ids, *sketch_pairs(size, [from_bytes(r["f"], bins_of(r["n"])) if r.get("f") else from_bytes(r["s"], BINS) for r in held], num, den))
 
     meetings = base.where("kind = 1").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct()
     sizes = checkpointed(meetings.groupBy("meeting").agg(F.count("*").alias("many"), F.min("node").alias("least")).where(F.col("many") > wide))

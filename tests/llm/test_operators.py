@@ -503,3 +503,14 @@ def test_chunks_and_words():
         out += [(part.start + int(d), bytes(data[s:e]).decode()) for s, e, d in zip(start, end, doc, strict=True)]
     want = [(i, w) for i, t in enumerate(batch.column("text").to_pylist()) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
     assert out == want
+
+
+def test_sketches_take_a_byte_a_bin(spark):
+    """Sketches are stored in a byte a bin, whatever doesn't fit in four, and come back as they were."""
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300))), (2, "a b c"), (3, "")], "doc_id long, text string")
+    rows = {r.a: r for r in jaccard._candidates(df, 2, jaccard.Levels(8, 10), 1000).where("kind = 0").collect()}
+    assert {k: (r.n, len(r.s), len(r.f)) for k, r in rows.items()} == {1: (299, jaccard.BINS, 128), 2: (2, jaccard.BINS, 0), 3: (0, jaccard.BINS, 0)}
+    assert sum(rows[1].f) == sum(rows[1].s) == 299
+    for most in (255, 256):
+        (raw, _), wide = jaccard.as_bytes([np.array([0, most, 3]), np.zeros(0, int)])
+        assert wide == (most > 255) and len(raw) == (12 if wide else 3) and jaccard.from_bytes(raw, 3).tolist() == [0, most, 3]
