@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity
-from kindred.functions.text import normalise
+from kindred.functions.text import normalise, split_tokens
 from kindred.operators import candidates, check, consistency, decide, dense, features, learn, metrics, tokenmap
+from kindred.operators.settle import settled
 from kindred.plans import sql, views
 from kindred.sources import records as R
 
@@ -72,10 +73,14 @@ def norm_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text_pairs(spark: SparkSession, d: str, least: float) -> DataFrame:
-    """a, b: names of pairs of documents whose cosine says they are versions of one text."""
+    """a, b: names of pairs of documents whose cosine says they are versions of one text, of equal numbers of tokens: only these align."""
     one, pool = views.documents(spark, d)
-    pairs = views.scored(spark, d).where(F.col("prob") >= least)
-    return pairs.join(one.select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("a")), "s1_id").join(pool.select(F.col("entity_id").alias("cand_id"), F.col("name_norm").alias("b")), "cand_id").select("a", "b")
+    sides = [(x.select(F.col("entity_id").alias(key), F.col("name_norm").alias(name)), F.size(split_tokens(F.col(name))).alias("n")) for x, key, name in ((one, "s1_id", "a"), (pool, "cand_id", "b"))]
+    pairs = views.scored(spark, d).where(F.col("prob") >= least).select("s1_id", "cand_id")
+    # numbers first, so that only texts of pairs that align are shuffled
+    (a, n), (b, m) = sides
+    pairs = settled(pairs.join(a.select("s1_id", n), "s1_id").join(b.select("cand_id", m), ["cand_id", "n"]).select("s1_id", "cand_id"))
+    return pairs.join(a, "s1_id").join(b, "cand_id").select("a", "b")
 
 
 PAIRS = sql.SCORED + "pairs as (select a.name_norm as a, b.name_norm as b from scored join rec a on s1_id = a.entity_id join rec b on cand_id = b.entity_id where prob >= {least}),\n"

@@ -218,3 +218,13 @@ def test_blocks_of_candidates(spark, monkeypatch):
     top = candidates.topk(*sides, channel)
     assert {tuple(r) for r in top.collect()} == want
     assert "Join" not in top._jdf.queryExecution().optimizedPlan().toString()  # a finished result, not pairs yet to be shuffled
+
+
+def test_truth_and_aligned_pairs_carry_little(spark):
+    """Truth joins digests of texts; pairs to align have equal numbers of tokens before their texts are joined."""
+    from kindred.plans import catalogue, views
+
+    true, _ = views.truth(spark, "/root/testdata/sf0.001")
+    assert "sha2(" in true._jdf.queryExecution().optimizedPlan().toString()
+    rows = catalogue._text_pairs(spark, "/root/testdata/sf0.001", 0.06).collect()
+    assert rows and all(len(r.a.split()) == len(r.b.split()) for r in rows)
