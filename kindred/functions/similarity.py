@@ -7,6 +7,9 @@ Arrow functions: those of one projection share one pass through Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,9 +109,20 @@ def jaro_winkler_pair(a: str, b: str, weight: float = 0.1) -> float:
     return jaro + prefix * weight * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def _arrow(f, a: Column, b: Column) -> Column:
+@lru_cache(maxsize=1 << 16)
+def _known(f: Callable[[str, str], float], a: str, b: str) -> float:
+    return f(a, b)
+
+
+def of_pairs(f: Callable[[str, str], float], x: pa.Array, y: pa.Array) -> pa.Array:
+    """``f`` of each pair; a worker keeps its last results for short texts, as records often share theirs."""
+    sides = zip(x.to_pylist(), y.to_pylist(), strict=True)
+    return pa.array([_known(f, p, q) if len(p) + len(q) <= 256 else f(p, q) for p, q in ((p or "", q or "") for p, q in sides)], pa.float64())
+
+
+def _arrow(f: Callable[[str, str], float], a: Column, b: Column) -> Column:
     def each(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([f(p or "", q or "") for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+        return of_pairs(f, x, y)
 
     return F.arrow_udf(each, "double")(a, b)
 

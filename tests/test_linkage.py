@@ -251,3 +251,17 @@ def test_blocks_are_not_shuffled_for_each_other(spark, monkeypatch):
     (few, single), (same, many) = at
     assert {tuple(r) for r in few} == {tuple(r) for r in same} and len(few) == 1200
     assert many < 2 * single, (single, many)
+
+
+def test_equal_pairs_are_compared_once():
+    import pyarrow as pa
+
+    seen = []
+
+    def f(a, b):
+        seen.append((a, b))
+        return float(len(a) - len(b))
+
+    x, y = ["abc", "ab", "abc", None, "l" * 300] * 3, ["b", "b", "b", "x", "m" * 20] * 3
+    assert S.of_pairs(f, pa.array(x), pa.array(y)).to_pylist() == [2.0, 1.0, 2.0, -1.0, 280.0] * 3
+    assert sorted(set(seen)) == sorted(seen[:3] + [("l" * 300, "m" * 20)]) and len(seen) == 6  # long texts are not kept
