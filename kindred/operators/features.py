@@ -6,15 +6,22 @@ on other rows are windows or one grouped count joined by its key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity as S
 from kindred.functions.text import split_tokens
+from kindred.operators.settle import settled
 
 RECORD = ("name_norm", "name_core", "name_nospace", "is_domain", "name_nonlatin", "addr_norm", "addr_words", "addr_nums", "house_num", "addr_empty")
 SCORES = ("cos_all", "cos_name", "cos_addr", "cos_namechar", "cos_emb")
 UNKNOWN_IDF = 12.0
+#: Records of the pool that a task holds at once, about.
+BUCKET = 1 << 17
 
 COMPETITION = ("cand_n_s1", "cand_best_cos", "cand_gap_cos", "cand_rank_cos", "cand_n_s1_name_hi", "s1_n_name_hi")
 AMBIGUITY = ("s1_addr_dup", "s1_name_dup", "s1_name_addr_key_dup", "cand_name_n_s1", "src_is_s3")
@@ -38,11 +45,72 @@ def with_idf(records: DataFrame, idf: DataFrame) -> DataFrame:
     return records
 
 
-def joined(cands: DataFrame, reference: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs with both records' columns; missing scores are 0."""
-    side = lambda df, key, n: df.select(F.col("entity_id").alias(key), *([F.col("country")] if n == 1 else []), *(F.col(c).alias(f"{c}{n}") for c in df.columns if c in RECORD or c.endswith("_idf")))
-    out = cands.select("s1_id", "cand_id", *(F.coalesce(c, F.lit(0.0)).alias(c) if c in cands.columns else F.lit(0.0).alias(c) for c in SCORES))
-    return out.join(side(reference, "s1_id", 1), "s1_id", "left").join(side(pool, "cand_id", 2), "cand_id", "left")
+def joined(cands: DataFrame, reference: DataFrame, pool: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Pairs with both records' columns, or those in ``only``; missing scores are 0. A candidate is looked up in the country of its entity.
+
+    An entity's columns go once to each bucket of its country that has candidates of it, and not once for each
+    pair.  Ids that repeat, and entities that the reference lacks, are joined pair by pair.
+    """
+    wanted = lambda c: c.endswith("_idf") or c in RECORD and (only is None or c in only)
+    side = lambda df, key, n: df.select(F.col("entity_id").alias(key), "country", *(F.col(c).alias(f"{c}{n}") for c in df.columns if wanted(c)))
+    one, two = side(reference, "s1_id", 1), side(pool, "cand_id", 2)
+    present = [c for c in SCORES if c in cands.columns]
+    scores = [c if c in present else F.lit(0.0).alias(c) for c in SCORES]
+    pair = F.struct("cand_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in present))
+    lists = settled(cands.groupBy("s1_id").agg(F.collect_list(pair).alias("x")).join(one, "s1_id", "left"), zipped=True)
+    again = lists.groupBy("s1_id").agg((F.count("country") != 1).alias("odd")).where("odd")
+    ids = pool.groupBy("entity_id").agg(F.count("country").alias("n"), F.count("*").alias("m"), F.first("country").alias("country"))
+    sizes = settled(ids.groupBy("country").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"), F.max((F.col("n") != 1) | (F.col("m") != 1)).alias("odd")))
+    texts = [c for c in one.columns if c.endswith("1")]
+    if not sizes.where("odd").isEmpty() or not again.isEmpty():
+        out = lists.select("s1_id", "country", *texts, F.inline("x")).join(two.drop("country"), "cand_id", "left")
+    else:
+        out = _met(lists, two, sizes, texts, present)
+    return out.select("s1_id", "cand_id", *scores, "country", *texts, *(c for c in two.columns if c.endswith("2")))
+
+
+def _met(lists: DataFrame, two: DataFrame, sizes: DataFrame, texts: list[str], present: list[str]) -> DataFrame:
+    """Each entity's candidates with the columns of both, by buckets of a country: its records of the pool first, then the entities."""
+    bucket = lambda c: F.coalesce(F.pmod(F.xxhash64(c), "buckets").cast("int"), F.lit(0))
+    known = F.broadcast(sizes.select("country", "buckets"))  # a row for each country
+    pairs = lists.join(known, "country", "left").withColumn("each", F.explode(F.array_distinct(F.transform("x", lambda x: bucket(x["cand_id"])))))
+    mine = F.filter("x", lambda x: bucket(x["cand_id"]) == F.col("each"))
+    pairs = pairs.select("country", F.col("each").alias("bucket"), F.lit(1).alias("side"), "s1_id", mine.alias("x"), *texts)
+    theirs = two.join(known, "country").select("country", bucket("cand_id").alias("bucket"), F.lit(0).alias("side"), "cand_id", *(c for c in two.columns if c.endswith("2")))
+    both = pairs.unionByName(theirs, allowMissingColumns=True)
+    names = [c for c in both.columns if c not in ("bucket", "side", "x")]
+    schema = both.select(*names).schema
+    for c in present:
+        schema = schema.add(c, "double")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, at = None, [], {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            group = list(zip(*(t[c].to_pylist() for c in ("country", "bucket", "side")), strict=True))
+            cuts = [i for i in range(len(group)) if i == 0 or group[i] != group[i - 1]] + [len(group)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                part, (*key, which) = t.slice(x, y - x), group[x]
+                if key != now:
+                    now, held, at, pool_rows = key, [], {}, None
+                if which == 0:
+                    at |= {c: len(at) + i for i, c in enumerate(part["cand_id"].to_pylist())}
+                    held.append(part.select([c for c in part.column_names if c.endswith("2")]))
+                    continue
+                if pool_rows is None:
+                    pool_rows = pa.concat_tables(held).combine_chunks() if held else part.slice(0, 0).select([c for c in part.column_names if c.endswith("2")])
+                for z in range(0, part.num_rows, 512):
+                    some = part.slice(z, 512).combine_chunks()
+                    x_s = some["x"].combine_chunks()
+                    flat = x_s.flatten()
+                    row = pc.list_parent_indices(x_s)
+                    ids = flat.field("cand_id")
+                    rows, theirs_ = some.take(row), pool_rows.take(pa.array([at.get(c) for c in ids.to_pylist()], pa.int64()))
+                    got = {c: rows[c] for c in names if not c.endswith("2")} | {c: theirs_[c] for c in names if c.endswith("2")} | {"cand_id": ids} | {c: flat.field(c) for c in present}
+                    yield from pa.table({f.name: got[f.name] for f in schema.fields}).combine_chunks().to_batches()
+
+    dealt = both.repartition("country", "bucket").sortWithinPartitions("country", "bucket", "side")
+    return dealt.mapInArrow(each, schema)
 
 
 def _sets(c: str) -> Column:

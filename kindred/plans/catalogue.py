@@ -246,7 +246,7 @@ def _minus(a: str, b: str) -> str:
  round({_inter('w1', 'w2')} / greatest(1, len(w2)), 6) as addr_words_cov2, round({_jacc('u1', 'u2')}, 6) as addr_nums_jacc, {_inter('u1', 'u2')}::int as addr_nums_inter, len(u1)::int as addr_nums_n1, len(u2)::int as addr_nums_n2,
  len(list_filter(str_split(an2, ' '), lambda x: x <> ''))::int as addr_len2 from j""".replace("t1[1] = t2[1]", "list_filter(str_split(nc1, ' '), lambda x: x <> '')[1] = list_filter(str_split(nc2, ' '), lambda x: x <> '')[1]").replace("list_contains(t1, t2[1])", "list_contains(t1, list_filter(str_split(nc2, ' '), lambda x: x <> '')[1])"))
 def feat_sets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(c.alias(k) for k, c in features.set_features().items())))
+    return rounded(views.part_pairs(spark, d, "name_core", "name_norm", "addr_words", "addr_nums", "addr_norm", "is_domain", "name_nonlatin", "addr_empty").select("s1_id", "cand_id", *(c.alias(k) for k, c in features.set_features().items())))
 
 
 _V1, _V2 = "list_filter(u1, lambda x: x <> h1)", "list_filter(u2, lambda x: x <> h2)"
@@ -258,7 +258,7 @@ _V1, _V2 = "list_filter(u1, lambda x: x <> h1)", "list_filter(u2, lambda x: x <>
  {_inter(_V1, _V2)}::int as sec_nums_inter, round({_jacc(_V1, _V2)}, 6) as sec_nums_jacc,
  len(list_filter({_minus('u1', 'u2')}, lambda x: length(x) >= 2 and len(list_filter(u2, lambda y: not list_contains(u1, y) and length(y) >= 2 and levenshtein(x, y) <= 1)) > 0))::int as nums_near from j""")
 def feat_house_nums(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(c.alias(k) for k, c in features.house_features().items())))
+    return rounded(views.part_pairs(spark, d, "addr_nums", "house_num").select("s1_id", "cand_id", *(c.alias(k) for k, c in features.house_features().items())))
 
 
 @query(PPAIRS + """, n as (select count(*) as n from rec), idf as (select kind, token, ln((select n from n)) - ln(count(*) + 1) as idf from (select 'name' as kind, unnest(t) as token from lists union all select 'addr', unnest(w) from lists) group by 1, 2),
@@ -271,7 +271,7 @@ from j left join g a on a.kind = 'name' and a.s1_id = j.s1_id and a.cand_id = j.
 def feat_idf_overlap(spark: SparkSession, d: str) -> DataFrame:
     one, pool = views.parts(spark, d)
     idf = features.idf_table(one.unionByName(pool))
-    pairs = features.joined(candidates.topk(one, pool, candidates.channels(0.5)["addr"]), features.with_idf(one, idf), features.with_idf(pool, idf))
+    pairs = features.joined(candidates.topk(one, pool, candidates.channels(0.5)["addr"]), features.with_idf(one, idf), features.with_idf(pool, idf), ("name_core", "addr_words"))
     return rounded(pairs.select("s1_id", "cand_id", *(c.alias(k) for k, c in features.idf_features().items())))
 
 
@@ -283,7 +283,7 @@ select s1_id, cand_id, round({sql.ratio('nc1', 'nc2')}, 6) as name_ratio, round(
  round(case when an1 = '' or an2 = '' then 0.0::double else {sql.ratio('an1', 'an2')} end, 6) as addr_ratio, round(case when nu1 = '' or nu2 = '' then 0.0::double else {sql.ratio('nu1', 'nu2')} end, 6) as nums_ratio from p""")
 def feat_ratio(spark: SparkSession, d: str) -> DataFrame:
     own = features.ratio_features() | {"addr_ratio": features.arrow_features()["addr_ratio"]}
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(c.alias(k) for k, c in own.items())))
+    return rounded(views.part_pairs(spark, d, "name_core", "name_nospace", "addr_norm", "addr_nums").select("s1_id", "cand_id", *(c.alias(k) for k, c in own.items())))
 
 
 def _token_set(a: str, b: str) -> str:
@@ -301,17 +301,17 @@ def _set_ratio(rel: str) -> str:
 @query(PPAIRS + f", n as ({_set_ratio(_token_set('nc1', 'nc2'))}), a as ({_set_ratio(_token_set('an1', 'an2'))}) select s1_id, cand_id, n.v as name_tsr, a.v as addr_tsr from n join a using (s1_id, cand_id)")
 def feat_token_set(spark: SparkSession, d: str) -> DataFrame:
     own = features.arrow_features()
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", *(own[k].alias(k) for k in ("name_tsr", "addr_tsr"))))
+    return rounded(views.part_pairs(spark, d, "name_core", "addr_norm").select("s1_id", "cand_id", *(own[k].alias(k) for k in ("name_tsr", "addr_tsr"))))
 
 
 @query(PPAIRS + "select s1_id, cand_id, round(case when nc1 = nc2 then 1.0::double when nc1 = '' or nc2 = '' then 0.0::double else jaro_winkler_similarity(nc1, nc2) end, 6) as name_jw from j")
 def feat_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", similarity.jaro_winkler(F.col("name_core1"), F.col("name_core2")).alias("name_jw")))
+    return rounded(views.part_pairs(spark, d, "name_core").select("s1_id", "cand_id", similarity.jaro_winkler(F.col("name_core1"), F.col("name_core2")).alias("name_jw")))
 
 
 @query()
 def feat_partial(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.part_pairs(spark, d).select("s1_id", "cand_id", similarity.partial_ratio(F.col("name_core1"), F.col("name_core2")).alias("name_partial"), similarity.partial_ratio(F.col("addr_norm1"), F.col("addr_norm2")).alias("addr_partial")))
+    return rounded(views.part_pairs(spark, d, "name_core", "addr_norm").select("s1_id", "cand_id", similarity.partial_ratio(F.col("name_core1"), F.col("name_core2")).alias("name_partial"), similarity.partial_ratio(F.col("addr_norm1"), F.col("addr_norm2")).alias("addr_partial")))
 
 
 @query()

@@ -34,13 +34,13 @@ def truth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return same.select("s1_id", "cand_id"), one.select(F.col("entity_id").alias("s1_id"))
 
 
-def part_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of parts of one type, name and brand-like key, with both records' columns."""
+def part_pairs(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    """Pairs of parts of one type, name and brand-like key, with both records' columns, or those in ``only``."""
     from kindred.operators import features
 
     one, pool = parts(spark, d)
     top = candidates.topk(one, pool, candidates.channels(0.5)["addr"])
-    return features.joined(top, one, pool)
+    return features.joined(top, one, pool, only or None)
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

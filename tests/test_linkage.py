@@ -265,3 +265,41 @@ def test_equal_pairs_are_compared_once():
     x, y = ["abc", "ab", "abc", None, "l" * 300] * 3, ["b", "b", "b", "x", "m" * 20] * 3
     assert S.of_pairs(f, pa.array(x), pa.array(y)).to_pylist() == [2.0, 1.0, 2.0, -1.0, 280.0] * 3
     assert sorted(set(seen)) == sorted(seen[:3] + [("l" * 300, "m" * 20)]) and len(seen) == 6  # long texts are not kept
+
+
+def test_steps_of_candidates_leave_no_shuffle_files(spark):
+    """Only the last of the many shuffles may still be there."""
+    import time
+
+    def shuffles():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {int(n.split("_")[1]) for n in names if n.startswith("shuffle_")}
+
+    sides = [normalise(spark.createDataFrame([(f"S{s}-{i}", f"red w{i % 7} w{i % 5}", "", "x") for i in range(30)], R.SCHEMA)) for s in (1, 2)]
+    old = shuffles()
+    top = candidates.topk(*sides, candidates.Channel("name", F.col("name_core"), 3, 0.9))
+    end = time.time() + 10
+    while len(left := shuffles() - old) > 3 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 3 and top.count() == 90
+
+
+def test_columns_go_once_to_a_bucket(spark, monkeypatch):
+    """Pairs get both records' columns as by plain joins, also of candidates that the pool lacks; ids that repeat are joined pair by pair."""
+    monkeypatch.setattr(features, "BUCKET", 3, raising=False)
+    records = lambda s, n: [(f"S{s}-{i}", f"name {s} {i}", f"{i} road", "xy"[i % 2]) for i in range(n)]
+    one, pool = records(1, 6), records(2, 20)
+    pairs = [(f"S1-{i}", f"S2-{j}", i / 10) for i in range(6) for j in range(i % 2, 20, 2) if i != 4] + [("S1-4", "S2-99", 0.5)]
+    cands = spark.createDataFrame(pairs, "s1_id string, cand_id string, cos_addr double")
+    for more in ([], [("S2-3", "other", "", "x")]):
+        a, b = (normalise(spark.createDataFrame(x, R.SCHEMA)) for x in (one, pool + more))
+        got = features.joined(cands, a, b, ("name_core", "house_num"))
+        left, right = ({} for _ in range(2))
+        for side, rows in ((left, a), (right, b)):
+            for r in rows.collect():
+                side.setdefault(r.entity_id, []).append(r)
+        want = {(i, j, s, x.country, x.name_core, x.house_num, y and y.name_core, y and y.house_num) for i, j, s in pairs for x in left[i] for y in right.get(j, [None])}
+        rows = [(r.s1_id, r.cand_id, r.cos_addr, r.country, r.name_core1, r.house_num1, r.name_core2, r.house_num2) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want and "addr_norm1" not in got.columns and got.first().cos_all == 0.0
+        assert ("MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()) and ("Join LeftOuter, (cand_id" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(more)
