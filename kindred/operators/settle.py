@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -18,6 +19,18 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def dropped(*done: DataFrame) -> None:
+    """Removes the files of results of ``settled`` that nothing will read again."""
+    for df in done:
+        sc = df.sparkSession.sparkContext
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for i in range(leaves.size()):
+            at = leaves.apply(i).rdd().getCheckpointFile()
+            if at.isDefined():
+                path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -34,7 +47,7 @@ def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settled(df: DataFrame, zipped: bool = False) -> DataFrame:
-    """``df`` in ``spark.checkpoint.dir``; only a run on one machine may leave that unset, and gets a folder that goes with it.
+    """``df`` in ``spark.checkpoint.dir``, without the shuffle files that led to it; only a run on one machine may leave that unset, and gets a folder that goes with it.
 
     ``zipped``: as compressed columns, a few bytes for a short value instead of 16 or more; each read unpacks them.
     """
@@ -49,6 +62,13 @@ def settled(df: DataFrame, zipped: bool = False) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="kindred-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    if zipped:
-        return df.mapInArrow(_zipped, "rows binary").checkpoint(eager=True).mapInArrow(_unzipped, df.schema)
-    return df.checkpoint(eager=True)
+    cleanup, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    with contextlib.suppress(Exception):  # not in every release
+        before = spark.conf.get(cleanup)
+        spark.conf.set(cleanup, "true")
+    try:
+        done = (df.mapInArrow(_zipped, "rows binary") if zipped else df.select("*")).checkpoint(eager=True)
+    finally:
+        if before is not None:
+            spark.conf.set(cleanup, before)
+    return done.mapInArrow(_unzipped, df.schema) if zipped else done

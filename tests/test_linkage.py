@@ -303,3 +303,19 @@ def test_columns_go_once_to_a_bucket(spark, monkeypatch):
         rows = [(r.s1_id, r.cand_id, r.cos_addr, r.country, r.name_core1, r.house_num1, r.name_core2, r.house_num2) for r in got.collect()]
         assert len(rows) == len(want) and set(rows) == want and "addr_norm1" not in got.columns and got.first().cos_all == 0.0
         assert ("MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()) and ("Join LeftOuter, (cand_id" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(more)
+
+
+@pytest.mark.parametrize("name", ["ctx_competition"])
+def test_queries_on_candidates_start_from_one_list(spark, name):
+    """Of what the candidates need on the way, nothing is on the disk when the rest of the query begins."""
+    from pathlib import Path
+
+    from kindred.operators.settle import settled
+    from kindred.plans import catalogue
+
+    settled(spark.range(1))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old = set(folder.glob("rdd-*"))
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(set(folder.glob("rdd-*")) - old) == 1
+    assert df.count() > 0
