@@ -305,7 +305,7 @@ def test_columns_go_once_to_a_bucket(spark, monkeypatch):
         assert ("MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()) and ("Join LeftOuter, (cand_id" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(more)
 
 
-@pytest.mark.parametrize("name", ["ctx_competition", "cand_top2", "ctx_rank_margin", "decide_expected_f"])
+@pytest.mark.parametrize("name", ["ctx_competition", "cand_top2", "ctx_rank_margin", "decide_expected_f", "decide_threshold"])
 def test_queries_on_candidates_start_from_one_list(spark, name):
     """Of what the candidates need on the way, nothing is on the disk when the rest of the query begins."""
     from pathlib import Path
